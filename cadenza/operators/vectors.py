@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 
@@ -27,7 +28,7 @@ def unit_peak(values: Column) -> Column:
     return F.when(peak > 1e-9, F.transform(values, lambda v: v / peak)).otherwise(values)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Warping distance of two vectors, batched over rows of equal lengths; null where either is null."""
     out = np.full(len(a), np.nan)
