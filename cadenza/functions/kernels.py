@@ -4,6 +4,7 @@ definitions; they run inside grouped Arrow functions."""
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,20 +42,30 @@ def butter_sos(order: int, cut: float | tuple[float, float], fs: float, kind: st
     return sos
 
 
-def _filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One pass over the first axis, sections started in the steady state of the first sample."""
-    y, level = x, x[0].astype(float)
-    for b0, b1, b2, _, a1, a2 in sos:
-        gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        s1, s2 = level * (gain - b0), level * (b2 - a2 * gain)
-        out = np.empty_like(y, dtype=float)
-        for i in range(len(y)):
-            v = y[i]
+@lru_cache(64)
+def _response(sections: tuple[tuple[float, ...], ...], n: int) -> np.ndarray:
+    """Impulse response on ``n`` samples."""
+    out = [1.0] + [0.0] * (n - 1)
+    for b0, b1, b2, _, a1, a2 in sections:
+        s1 = s2 = 0.0
+        for i, v in enumerate(out):
             out[i] = r = b0 * v + s1
-            s1 = b1 * v - a1 * r + s2
-            s2 = b2 * v - a2 * r
-        y, level = out, level * gain
-    return y
+            s1, s2 = b1 * v - a1 * r + s2, b2 * v - a2 * r
+    return np.array(out)
+
+
+def _filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One pass over the first axis, started in the steady state of the first sample.
+
+    A linear filter is the convolution with its impulse response, here by spectra; the steady state is that of a
+    constant first sample, so it acts on the difference to that.
+    """
+    n = len(x)
+    size = 1 << (2 * n - 1).bit_length()
+    h = np.fft.rfft(_response(tuple(map(tuple, sos.tolist())), 1 << (n - 1).bit_length())[:n], size)
+    gain = np.prod(sos[:, :3].sum(1) / (1 + sos[:, 4] + sos[:, 5]))
+    y = np.fft.irfft(np.fft.rfft(x - x[0], size, axis=0) * (h if x.ndim == 1 else h[:, None]), size, axis=0)[:n]
+    return y + x[0] * gain
 
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:

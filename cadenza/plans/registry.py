@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sequence_queries, set_queries, vector_queries
+from . import imu_queries, sequence_queries, set_queries, vector_queries
 
-QUERIES = {**sequence_queries.QUERIES, **set_queries.QUERIES, **vector_queries.QUERIES}
+QUERIES = {**sequence_queries.QUERIES, **set_queries.QUERIES, **vector_queries.QUERIES, **imu_queries.QUERIES}
 SQL = {**sequence_queries.SQL, **set_queries.SQL, **vector_queries.SQL}
