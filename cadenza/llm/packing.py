@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
-from .word_ids import encoder
+from .word_ids import WordEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -33,13 +33,13 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
     """One row per piece of each document's ids and the end id after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path)
+        made = WordEncoder(path)
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
                 out = [[], [], [], [], []]
                 for doc, ids in zip(batch.column(0).to_pylist(), made.encode(batch.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids.astype("<u4"), np.uint32(end))
+                    ids = np.append(np.frombuffer(ids, made.kind).astype("<u4"), np.uint32(end))
                     for k, start in enumerate(range(0, len(ids), size)):
                         piece = ids[start : start + size]
                         for column, value in zip(out, (doc, k, start, len(piece), zlib.crc32(piece.tobytes())), strict=True):

@@ -1,88 +1,84 @@
 """Ids of whole texts by a word-level BPE vocabulary, with a bounded table of words seen before.
 
 The vocabulary's rules treat what lies between white space on its own: white space is dropped, no pre-token has any
-inside, and neither normalisation nor lower-casing looks beyond it. So each such stretch is encoded once by the library
-and remembered. New stretches go to the library many at a time, with a control character of its own id between them;
-texts with that character, or with ones that Python and the library class differently, go to the library whole.
+inside, and neither normalisation nor lower-casing looks beyond it. So each such stretch is encoded once and remembered.
+Stretches of printable ASCII and Latin letters need no normalisation but lower case and fall into pre-tokens by a
+plain expression, and the library's model encodes these; all others, and whole texts with control characters that Python
+and the library class differently, go through the library's complete pipeline.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import sys
-from types import ModuleType
+from array import array
+from itertools import islice
 
 import numpy as np
 
+from .byte_bpe import byte_characters
 
-#: Between stretches, and among what Python but not the library takes for white space.
-BETWEEN, ODD = "\x01", "\x01\x1c\x1d\x1e\x1f"
-#: Latin letters with at most one mark of punctuation after them: two pre-tokens, and lower-casing them is plain.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
+#: Characters that Python but not the library takes for white space.
+ODD = "\x1c\x1d\x1e\x1f"
+SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+class _Units(dict):
+    """Ids of stretches, learnt when they are first asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = self.learn(unit)
+        return found
 
 
 class WordEncoder:
-    """``most`` bounds the table of stretches, which is emptied when full (some 200 bytes each)."""
+    """``most`` bounds the table of pre-tokens and two fifths of it that of stretches (some 200 bytes an entry). A full
+    one keeps the half that came first, in which frequent ones are."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(path)
         self.made.no_truncation()
         self.made.no_padding()
-        self.wide = self.made.get_vocab_size() > 65_536
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[str, bytes] = {}
+        self.code = "I" if self.made.get_vocab_size() > 65_536 else "H"
+        self.kind = np.dtype("<u4" if self.code == "I" else "<u2")
+        self.model = self.made.model
+        self.chars = dict(enumerate(byte_characters()))
+        self.units, self.parts = _Units(self._unit), _Units(self._part)
         self.most = most
-        (self.between,) = self.made.encode(BETWEEN, add_special_tokens=False).ids
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, words: list[str], together: int = 2_000) -> None:
-        for at in range(0, len(words), together):
-            part = words[at : at + together]
-            ids = self._ids(f" {BETWEEN} ".join(part))
-            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
-            start = 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = ids[start:end].tobytes()
-                start = end + 1
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, in the narrowest type that holds them all."""
-        split, odd, new, made = [], [], set(), {}
-        known = self.known
-        if len(known) >= self.most:
-            known.clear()
-        for i, text in enumerate(texts):
-            if text and any(c in text for c in ODD):
-                odd.append(i)
-                split.append([])
-                continue
-            words = text.split() if text else []
-            split.append(words)
-            new.update(words)
-        new = {word for word in new if word not in known}
-        for word in new:
-            if m := PLAIN(word):
-                made[word] = (m[1].lower(), m[2])
-        new.difference_update(made)
-        new.update(part for parts in made.values() for part in parts if part and part not in known)
-        self._learn(list(new))
-        for word, (letters, mark) in made.items():
-            known[word] = known[letters] + known[mark] if mark else known[letters]
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind) for words in split]
-        for i in odd:
-            out[i] = self._ids(texts[i])
-        return out
 
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one lower-case pre-token."""
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.chars)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if not SIMPLE(unit) or "<|" in unit:
+            return self._ids(unit)
+        parts = PARTS(unit.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
-def encoder(path: str) -> WordEncoder:
-    """This process's encoder: a Python worker runs many tasks, and keeps what it has learnt from one to the next."""
-    kept = sys.modules.setdefault("_cadenza_kept", ModuleType("_cadenza_kept")).__dict__
-    if f"words {path}" not in kept:
-        kept[f"words {path}"] = WordEncoder(path)
-    return kept[f"words {path}"]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as numbers of :attr:`kind`, the narrowest that holds them all."""
+        for table, most in ((self.units, self.most * 2 // 5), (self.parts, self.most)):
+            if len(table) >= most:
+                kept = list(islice(table.items(), most // 2))
+                table.clear()
+                table.update(kept)
+        out, get = [], self.units.__getitem__
+        for text in texts:
+            if text and any(c in text for c in ODD):
+                out.append(self._ids(text))
+            else:
+                out.append(b"".join(map(get, text.split())) if text else b"")
+        return out
