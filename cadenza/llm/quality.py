@@ -58,8 +58,7 @@ def counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_r", F.expr("array_sort(transform(filter(_g, (x, k) -> (k > 0 and x.g = _g[k - 1].g) or (k < size(_g) - 1 and x.g = get(_g, k + 1).g)), x -> x.i))"))
     df = df.withColumn("_l", F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     stops = ", ".join(f"xxhash64('{w}')" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
-    return df.select(
-        "_row",
+    found = F.struct(
         F.expr("cast(size(_w) as long)").alias("n_words"),
         F.char_length(_without(F.col("_t"), SPACES)).cast("long").alias("word_chars"),
         (F.octet_length("_t") - F.octet_length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -69,6 +68,9 @@ def counts(docs: DataFrame) -> DataFrame:
         F.expr("cast(size(_l) as long)").alias("n_lines"),
         F.expr(f"cast(size(filter(_h, h -> h in ({stops}))) as long)").alias("n_stop_words"),
     )
+    # A generator of one row: filters on the counts stay above it. Pushed below, they would write the expressions into
+    # each other over and over.
+    return df.select("_row", F.explode_outer(F.array(found)).alias("_found")).select("_row", "_found.*")
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
