@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long"
@@ -99,7 +101,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = automaton()
     told = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
     empty = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
+    for batch in sliced(batches):
         count = {k: [] for k in (*BASE, "more")}
         digest, joined = [], []
         for text in batch.column(1).to_pylist():
@@ -126,7 +128,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             texts, changed = batch.column(at).to_pylist(), {}
             for i, text in enumerate(texts):
                 if text and (spans := find(text, words)):

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
@@ -115,11 +117,20 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
-        for batch in batches:
+
+        def flush() -> pa.RecordBatch:
+            names = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][x] for x in names], pa.int64()), pa.array([seen[1][x] for x in names], pa.int64())], ["name", "u", "p"])
+            for s in seen:
+                s.clear()
+            return out
+
+        for batch in sliced(batches, 64):
             for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[positive].update(features(text)[0].keys())
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][x] for x in names], pa.int64()), pa.array([seen[1][x] for x in names], pa.int64())], ["name", "u", "p"])
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield flush()
+        yield flush()
 
     sizes = dict(chosen.groupBy("positive").count().collect())
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
@@ -157,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [found.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -171,7 +182,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([found.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
