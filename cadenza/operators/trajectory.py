@@ -26,12 +26,12 @@ def _sse(x: Column, y: Column) -> Column:
 
 def summarize(df: DataFrame, keys: list[str], order: list[str], y: str) -> DataFrame:
     """One row per group with the six summaries of ``y``; groups without a value have a row of nulls."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*[f"_o{n}" for n in range(len(order))])
     finite = F.col(y).isNotNull() & ~F.isnan(y) & (F.abs(y) < F.lit(float("inf")))
     groups = df.groupBy(*keys).agg(F.max((F.col(y).isNotNull() & ~finite).cast("int")).alias("_bad"))
-    pts = df.where(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("y"), *[c for c in order if c not in keys])
-    pts = pts.withColumn("x", (F.row_number().over(w) - 1).cast("double"))
-    x, y_ = F.col("x"), F.col("y")
+    pts = df.where(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("_y"), *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)])
+    pts = pts.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    x, y_ = F.col("_x"), F.col("_y")
     xx = x * x
     curve = (F.var_pop(x) * F.covar_pop(xx, y_) - F.covar_pop(x, xx) * F.covar_pop(x, y_)) / (F.var_pop(x) * F.var_pop(xx) - F.pow(F.covar_pop(x, xx), F.lit(2)))
     stats = pts.groupBy(*keys).agg(
@@ -47,10 +47,10 @@ def summarize(df: DataFrame, keys: list[str], order: list[str], y: str) -> DataF
     far = pts.join(stats.select(*keys, "_slope", "_intercept"), keys).groupBy(*keys).agg(F.max(F.abs(y_ - F.col("_slope") * x - F.col("_intercept"))).alias("_dev"))
     # A line that fits but for rounding leaves nothing to gain; nor may rounding decide between equally good breaks.
     bent = F.col("_one") > 1e-12 * F.greatest(F.col("_syy"), F.lit(1.0))
-    cut = pts.join(stats.where((F.col("_n") >= 4) & bent).select(*keys, "_n", "_one"), keys).withColumn("k", F.explode(F.expr("sequence(2, cast(_n as int) - 2)")))
-    left = x < F.col("k")
-    two = cut.groupBy(*keys, "k", "_one").agg((_sse(F.when(left, x), y_) + _sse(F.when(~left, x), y_)).alias("_two"))
-    best = two.groupBy(*keys).agg(F.min_by(F.struct("k", "_two"), F.struct(F.round(F.col("_two") / F.col("_one"), 9), F.col("k"))).alias("_best")).select(*keys, F.col("_best.k").alias("_k"), F.col("_best._two").alias("_two"))
+    cut = pts.join(stats.where((F.col("_n") >= 4) & bent).select(*keys, "_n", "_one"), keys).withColumn("_cut", F.explode(F.expr("sequence(2, cast(_n as int) - 2)")))
+    left = x < F.col("_cut")
+    two = cut.groupBy(*keys, "_cut", "_one").agg((_sse(F.when(left, x), y_) + _sse(F.when(~left, x), y_)).alias("_two"))
+    best = two.groupBy(*keys).agg(F.min_by(F.struct("_cut", "_two"), F.struct(F.round(F.col("_two") / F.col("_one"), 9), F.col("_cut"))).alias("_best")).select(*keys, F.col("_best._cut").alias("_k"), F.col("_best._two").alias("_two"))
     out = groups.join(stats, keys, "left").join(far, keys, "left").join(best, keys, "left")
     ok = F.col("_bad") == 0
     broken = ok & (F.col("_n") >= 4) & bent
