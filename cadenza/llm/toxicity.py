@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import shared_dir, sliced, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     some = first(known.where("toxic > 0").join(docs.select("doc_id"), "doc_id", "left_semi"), positives).select("doc_id", F.lit(1).alias("positive"))
     rest = first(docs.select("doc_id").where("doc_id is not null").where(~held_out()).distinct(), unlabelled).select("doc_id", F.lit(0).alias("positive"))
     # At most positives + unlabelled ids, so a small side whatever the corpus.
-    chosen = docs.join(F.broadcast(some.unionByName(rest)), "doc_id").checkpoint()
+    chosen = written(docs.join(F.broadcast(some.unionByName(rest)), "doc_id"), shared_dir(docs.sparkSession, "toxicity"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
@@ -164,10 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = Model(*shared.value)
         for batch in sliced(batches):
             scores = [found.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -178,10 +178,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that ``model`` does not call toxic, with all their columns."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = Model(*shared.value)
         for batch in sliced(batches):
             yield batch.filter(pa.array([found.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 

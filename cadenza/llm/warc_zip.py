@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir, written
+
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 ROLL = 32 * 1024 * 1024
 
@@ -229,7 +231,7 @@ def read(packages: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     found = packages.select("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = found.checkpoint()
+    found = written(found, shared_dir(packages.sparkSession, "warc-records"))
     sizes = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("sha")).agg(F.max("payload_bytes").alias("size"))
     resolved = found.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("sha"), "left")
     resolved = resolved.select("page_id", F.coalesce("size", F.raise_error(F.lit("a revisit without its response")).cast("long")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
