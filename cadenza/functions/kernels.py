@@ -4,7 +4,6 @@ definitions; they run inside grouped Arrow functions."""
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
@@ -42,16 +41,22 @@ def butter_sos(order: int, cut: float | tuple[float, float], fs: float, kind: st
     return sos
 
 
-@lru_cache(64)
+#: Responses made before, by sections and length; lengths are powers of two, so there are few.
+_responses: dict[tuple, np.ndarray] = {}
+
+
 def _response(sections: tuple[tuple[float, ...], ...], n: int) -> np.ndarray:
     """Impulse response on ``n`` samples."""
+    if (sections, n) in _responses:
+        return _responses[sections, n]
     out = [1.0] + [0.0] * (n - 1)
     for b0, b1, b2, _, a1, a2 in sections:
         s1 = s2 = 0.0
         for i, v in enumerate(out):
             out[i] = r = b0 * v + s1
             s1, s2 = b1 * v - a1 * r + s2, b2 * v - a2 * r
-    return np.array(out)
+    _responses[sections, n] = np.array(out)
+    return _responses[sections, n]
 
 
 def _filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
