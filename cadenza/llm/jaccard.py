@@ -10,10 +10,10 @@ A document's set is that of its distinct five-word shingles, as 64-bit hashes. T
   documents near a border share shingles with several pivots and are replicated to each of their regions.
 * **Windows.** The distance to the pivot is taken exactly. Those within 0.2 link to the pivot and so to each other's
   component; for a pair that is still open, distances to the pivot that differ by more than 0.2 rule it out by the
-  triangle inequality, and so do sizes that differ too much.
+  triangle inequality, and so do sizes that differ too much and shingles left behind the first common one.
 * **Recursion.** What a region leaves open, documents outside the ball and those inside that their windows reach, goes
-  into the next round with 4, 16, 64, ... further pivots a cell, until no cell has two documents of different
-  components. Every link between different components is found; pairs that are connected already aren't compared.
+  into the next round with 16, 256, ... further pivots a cell, until no cell has two documents of
+  different components. Every link between different components is found; pairs that are connected already aren't compared.
 
 Lower-cases A-Z only; words are runs of anything but ``\\x20`` and ``\\x09`` to ``\\x0D``. With fewer than five words the
 whole sequence is the one shingle. Null and empty texts have no shingles and link with nothing. Each input row gives
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, shared_dir, written
+from .common import components, shared_dir, sliced, written
 
 WORDS = 5
 BLOCK = 4096
@@ -57,6 +57,23 @@ def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in buckets by their low bits, some two buckets a shingle. Two sets differ in
+    at least as many shingles as their sketches in bits, and the halves of a sketch added up are the next smaller one."""
+    size = max(64, 1 << (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A number of shingles that two sets differ in at least, from their sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def name_of(found: np.ndarray) -> int:
     import xxhash
 
@@ -67,7 +84,7 @@ def _sign(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "sig", "block", "counts"]
-        for batch in batches:
+        for batch in sliced(batches):
             size, sig, slots = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
@@ -101,8 +118,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(bits: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = ranks.value, set()
-        for batch in batches:
-            cells, sigs, sizes = [], [], []
+        for batch in sliced(batches):
+            cells, sigs, places = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text)
                 n = len(found)
@@ -116,9 +133,9 @@ def _prefixes(bits: int, ranks):
                 first = np.argsort(order[(found >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[: n - (4 * n + 4) // 5 + 1]
                 cells.append(found[first].view(np.int64))
                 sigs.append(np.full(len(first), sig, np.int64))
-                sizes.append(np.full(len(first), n, np.int32))
+                places.append((n << 32) + np.arange(len(first), dtype=np.int64))
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, sigs, sizes)], ["cell", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, sigs, places)], ["cell", "v", "at"])
 
     return run
 
@@ -126,22 +143,31 @@ def _prefixes(bits: int, ranks):
 def _sets(bits: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = wanted.value
-        for batch in batches:
-            sigs, sets = [], []
+        for batch in sliced(batches):
+            sigs, sketches, sets = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or slots[doc & ((1 << bits) - 1)]:
                     found = shingles(text)
                     if len(found):
                         sigs.append(name_of(found))
+                        sketches.append(sketch(found))
                         sets.append(found.tobytes())
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], ["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["sig", "sketch", "shingles"])
 
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least distances from the sketches."""
+    for batch in sliced(batches):
+        differ = np.array([apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], float)
+        both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(2 * differ / (both + differ))], ["v", "p", "nv", "np", "lo"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         common, last, right = [], None, None
         for p, a, b in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             if p != last:
@@ -153,8 +179,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], ["v", "p", "nv", "np", "common"])
 
 
+def slots_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2**bits slots (the low bits) the long column ``id`` fills; built and combined as bitmaps in Spark."""
+    out = np.zeros(1 << bits, bool)
+    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
+    marks = ids.select(slot.alias("slot")).select((F.col("slot") / 32768).cast("long").alias("bucket"), (F.col("slot") % 32768).alias("bit"))
+    for row in marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[row["bucket"] * 32768 : (row["bucket"] + 1) * 32768] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+    return out
+
+
 LINKED = "5 * common >= 4 * (nv + np - common)"
-FITS = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
+#: Most pairs whose ids, eight bytes each, are broadcast.
+FEW = 500_000
+PAIRS = "v long, p long, nv int, np int"
+#: What follows a common shingle in both bounds the overlap of two documents whose first common one it is; in any other
+#: cell than that of their first a pair may be left out.
+FITS = "9 * least({0} - {1}, {2} - {3}) >= 4 * ({0} + {2})"
 #: Distances are quotients of whole numbers; this only keeps rounding from closing a window.
 SLACK = 0.2 + 1e-9
 
@@ -178,56 +219,68 @@ def link(docs: DataFrame) -> DataFrame:
 
     # Cells, their pivots, and the documents in each pivot's region.
     in_cell = Window.partitionBy("cell").orderBy("v")
-    star = docs.select("text").mapInArrow(_prefixes(bits, ranks), "cell long, v long, n int")
-    star = star.select("*", F.first("v").over(in_cell).alias("p"), F.first("n").over(in_cell).alias("np"), F.lag("v").over(in_cell).alias("before"))
-    star = written(star.where("v <> p and v <> before").select("cell", "v", "n", "p", "np"), f"{base}/star")
+    star = docs.select("text").mapInArrow(_prefixes(bits, ranks), "cell long, v long, at long")
+    star = star.select("*", F.first("v").over(in_cell).alias("p"), F.first("at").over(in_cell).alias("p_at"), F.lag("v").over(in_cell).alias("before")).where("v <> p and v <> before")
+    size, place = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
+    star = written(star.selectExpr("cell", "v", f"{size.format('at')} n", f"{place.format('at')} i", "p", f"{size.format('p_at')} np", f"{place.format('p_at')} pi"), f"{base}/star")
 
     # The sets of the documents in any cell with another one.
     needed = star.select(F.col("v").alias("sig")).union(star.select("p")).distinct().join(reps, "sig").select("rep").where("rep is not null")
     most = docs.agg(F.max(F.abs("doc_id"))).first()[0] or 1
     slot_bits = min(28, max(15, math.ceil(math.log2(most + 1))))
-    slots = np.zeros(1 << slot_bits, bool)
-    slot = F.col("rep").bitwiseAND(F.lit((1 << slot_bits) - 1))
-    marks = needed.select((slot / 32768).cast("long").alias("bucket"), (slot % 32768).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    for row in marks.toLocalIterator():
-        slots[row["bucket"] * 32768 : (row["bucket"] + 1) * 32768] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
-    slots = spark.sparkContext.broadcast(slots)
-    sets = written(docs.mapInArrow(_sets(slot_bits, slots), "sig long, shingles binary"), f"{base}/sets")
+    slots = spark.sparkContext.broadcast(slots_of(needed.select(F.col("rep").alias("id")), slot_bits))
+    sets = written(docs.mapInArrow(_sets(slot_bits, slots), "sig long, sketch binary, shingles binary"), f"{base}/sets")
+
+    def joined(pairs: DataFrame, what: str) -> DataFrame:
+        """Pairs with ``what`` of both sides as a and b. While the pairs' ids are few enough to broadcast, only what they
+        ask for is shuffled."""
+        few = pairs.count() <= FEW
+        for side, name in (("v", "a"), ("p", "b")):
+            held = sets.select("sig", what)
+            if few:
+                held = held.join(F.broadcast(pairs.select(F.col(side).alias("sig")).distinct()), "sig", "left_semi")
+            pairs = pairs.join(held.withColumnsRenamed({"sig": side, what: name}), side)
+        return pairs.select("v", "p", "nv", "np", "a", "b")
 
     def compared(pairs: DataFrame, to: str) -> DataFrame:
-        """Adds the exact number of common shingles to distinct pairs (v, p, nv, np)."""
-        both = pairs.join(sets.withColumnsRenamed({"sig": "v", "shingles": "a"}), "v").join(sets.withColumnsRenamed({"sig": "p", "shingles": "b"}), "p")
-        return written(both.select("v", "p", "nv", "np", "a", "b").mapInArrow(_shared, "v long, p long, nv int, np int, common long").distinct(), f"{base}/{to}")
-
-    near = compared(star.where(FITS.format("n", "np")).selectExpr("v", "p", "n nv", "np").distinct(), "near0")
-    links = near.where(LINKED).select(F.col("v").alias("u"), F.col("p").alias("v"))
+        """Distinct pairs (v, p, nv, np) with their distance between lo and hi and whether they link. Sketches rule most
+        of those out that don't; the others' distances are exact."""
+        pairs = written(pairs, f"{base}/{to}-pairs")
+        pairs = written(joined(pairs, "sketch").mapInArrow(_sketched, f"{PAIRS}, lo double"), f"{base}/{to}-sketched")
+        likely = pairs.where(f"lo <= {SLACK}").select("v", "p", "nv", "np")
+        exact = written(joined(likely, "shingles").mapInArrow(_shared, f"{PAIRS}, common long"), f"{base}/{to}-exact")
+        exact = exact.selectExpr("v", "p", "1 - common / (nv + np - common) lo", "1 - common / (nv + np - common) hi", f"{LINKED} linked")
+        return exact.unionByName(pairs.where(f"lo > {SLACK}").selectExpr("v", "p", "lo", "1d hi", "false linked"))
+
+    near = compared(star.where(FITS.format("n", "i", "np", "pi")).selectExpr("v", "p", "n nv", "np").distinct(), "near0")
+    links = near.where("linked").select(F.col("v").alias("u"), F.col("p").alias("v"))
     known = components(links, "jaccard-components")
 
-    # What regions leave open; d is the distance to the cell's pivot, null if sizes alone rule the link out.
-    near = near.selectExpr("v", "p", "1 - common / (nv + np - common) d", f"{LINKED} linked")
-    star = star.join(near, ["v", "p"], "left")
-    border = star.where("not coalesce(linked, false)").groupBy("cell").agg(F.min("d").alias("nearest"), F.max(F.col("d").isNull()).alias("unknown"))
-    rows = star.join(border, "cell").where(f"not coalesce(linked, false) or unknown or d >= nearest - {SLACK}").select("cell", "v", "n", "d")
+    # What regions leave open; the distance to the cell's pivot lies between lo and hi.
+    star = star.join(near, ["v", "p"], "left").withColumns({"linked": F.expr("coalesce(linked, false)"), "lo": F.expr("coalesce(lo, 1 - least(n, np) / greatest(n, np))"), "hi": F.expr("coalesce(hi, 1d)")})
+    border = star.where("not linked").groupBy("cell").agg(F.min("lo").alias("nearest"))
+    rows = star.join(border, "cell").where(f"not linked or lo >= nearest - {SLACK}").select("cell", "v", "n", "i", "lo", "hi").distinct()
     rows = written(rows, f"{base}/open0")
-    done, pivots, level = near.select("v", "p"), 4, 0
+    pivots, level = 16, 0
     while True:
         level += 1
-        grouped = rows.join(known.withColumnRenamed("id", "v"), "v", "left").select("cell", "v", "n", "d", F.coalesce("component", "v").alias("component"))
-        mixed = grouped.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cell")
-        rows = written(grouped.join(mixed, "cell").withColumn("k", F.row_number().over(in_cell)), f"{base}/open{level}")
+        # Cells of one component are settled.
+        rows = rows.join(known.withColumnRenamed("id", "v"), "v", "left").select("cell", "v", "n", "i", "lo", "hi", F.coalesce("component", "v").alias("component"))
+        mixed = rows.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cell")
+        rows = written(rows.join(mixed, "cell").withColumn("k", F.row_number().over(in_cell)), f"{base}/open{level}")
         if rows.isEmpty():
             break
-        first = rows.where(F.col("k") <= pivots).select("cell", *[F.col(c).alias(f"p_{c}") for c in ("v", "n", "d", "component")])
-        pairs = rows.join(first, "cell").where(f"v > p_v and component <> p_component and {FITS.format('n', 'p_n')} and coalesce(abs(d - p_d) <= {SLACK}, true)")
-        pairs = pairs.selectExpr("v", "p_v p", "n nv", "p_n np").distinct().join(done, ["v", "p"], "left_anti")
-        more = compared(pairs, f"near{level}")
-        done = done.unionByName(more.select("v", "p"))
-        found = more.where(LINKED).select(F.col("v").alias("u"), F.col("p").alias("v"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            known = components(links, "jaccard-components")
-        rows = rows.where(F.col("k") > pivots).select("cell", "v", "n", "d")
-        pivots *= 4
+        first = rows.where(F.col("k") <= pivots).select("cell", *[F.col(c).alias(f"p_{c}") for c in ("v", "n", "i", "lo", "hi", "component", "k")])
+        window = f"lo - p_hi <= {SLACK} and p_lo - hi <= {SLACK}"
+        pairs = rows.join(first, "cell").where(f"k > p_k and component <> p_component and {FITS.format('n', 'i', 'p_n', 'p_i')} and {window}")
+        more = compared(pairs.selectExpr("v", "p_v p", "n nv", "p_n np").distinct(), f"near{level}").where("linked")
+        if not more.isEmpty():
+            # Components found so far are joined by what links them.
+            a, b = (known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of")) for c in "uv")
+            between = more.select(F.col("v").alias("u"), F.col("p").alias("v")).join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v"))
+            known = components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(between), "jaccard-components")
+        rows = rows.where(F.col("k") > pivots).select("cell", "v", "n", "i", "lo", "hi")
+        pivots *= 16
 
     # From points back to documents.
     of = reps.join(known.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
