@@ -141,13 +141,13 @@ def rir_pmf(hazards: Column) -> Column:
 def rir_range(df: DataFrame, key: str, pmf: str, mass: float = 0.6) -> DataFrame:
     """Key, lo, hi: the tightest interval of levels with at least ``mass``, the first of equals."""
     total = F.aggregate(pmf, F.lit(0.0), lambda a, b: a + b)
-    levels = df.select(key, F.posexplode(F.transform(pmf, lambda p: p / total)).alias("k", "p"))
-    w = Window.partitionBy(key, "lo").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    spans = levels.join(levels.select(key, F.col("k").alias("lo")), key).where("k >= lo").withColumn("m", F.sum("p").over(w))
-    full = spans.where(F.col("m") >= mass).groupBy(key, "lo").agg(F.min("k").alias("hi"))
-    best = full.groupBy(key).agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "lo", "hi")).alias("b"))
+    levels = df.select(key, F.posexplode(F.transform(pmf, lambda p: p / total)).alias("_level", "_p"))
+    w = Window.partitionBy(key, "_lo").orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
+    spans = levels.join(levels.select(key, F.col("_level").alias("_lo")), key).where("_level >= _lo").withColumn("_m", F.sum("_p").over(w))
+    full = spans.where(F.col("_m") >= mass).groupBy(key, "_lo").agg(F.min("_level").alias("_hi"))
+    best = full.groupBy(key).agg(F.min(F.struct((F.col("_hi") - F.col("_lo")).alias("width"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).alias("_b"))
     sizes = df.select(key, (F.size(pmf) - 1).alias("_k"))
-    return sizes.join(best, key, "left").select(key, F.coalesce("b.lo", F.lit(0)).cast("long").alias("lo"), F.coalesce("b.hi", "_k").cast("long").alias("hi"))
+    return sizes.join(best, key, "left").select(key, F.coalesce("_b.lo", F.lit(0)).cast("long").alias("lo"), F.coalesce("_b.hi", "_k").cast("long").alias("hi"))
 
 
 def reps_left(lo: Column, hi: Column, k: int) -> Column:
