@@ -1,8 +1,8 @@
 """A content-addressed store of token ids.
 
 A rolling hash over the last ids cuts each document's stream into chunks, so equal passages give equal chunks wherever
-they stand. A chunk is named by the SHA-256 of its ids (little-endian unsigned 32-bit) and stored once, in the
-narrowest width that holds the vocabulary. A recipe lists a document's chunks and has their Merkle root; recipes stand
+they stand. A chunk is stored once, its ids in the narrowest width that holds the vocabulary, and named by the SHA-256
+of what is stored. A recipe lists the names and lengths of a document's chunks and has their Merkle root; recipes stand
 in ascending doc_id order in range partitions, and the manifest has each partition's base, length and the Merkle root
 over its recipes. Below the store's path lie the Parquet folders ``objects/kind=chunk``, ``recipes`` and ``manifest``.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +23,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .word_ids import encoder
+from .word_ids import WordEncoder
 
 LEAST, MEAN, MOST = 64, 256, 1024
-WINDOW = 8
+WINDOW = 4
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Ends of the chunks of ``ids``: where the hash of the last WINDOW ids is divisible by ``mean``, a power of two,
-    but no chunk is shorter than ``least`` (the last may be) or longer than ``most``."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
+def marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Places after ids at which the hash of the last WINDOW ids is divisible by ``mean``, a power of two."""
     with np.errstate(over="ignore"):
         each = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         each ^= each >> np.uint64(29)
-        rolling = each.copy()
-        factor = np.uint64(1)
+        rolling, factor = each.copy(), np.uint64(1)
         for back in range(1, WINDOW):
             factor *= np.uint64(0x100000001B3)
             rolling[back:] += each[:-back] * factor
         rolling ^= rolling >> np.uint64(33)
-    at = np.flatnonzero((rolling & np.uint64(mean - 1)) == 0) + 1
+    return np.flatnonzero((rolling & np.uint64(mean - 1)) == 0) + 1
+
+
+def cuts(places: list[int], n: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of ``n`` ids: the marked places, but no chunk is shorter than ``least`` (the last may be) or
+    longer than ``most``. As ``least`` exceeds the hash's window, what stands before a document can't move its cuts."""
     out, last = [], 0
-    for cut in [*at.tolist(), n]:
+    for cut in [*places, n]:
         while cut - last > most:
             last += most
             out.append(last)
@@ -69,29 +68,45 @@ def merkle(leaves: list[bytes]) -> bytes:
 OBJECTS = "kind string, key binary, doc_id long, n long, payload binary"
 
 
+WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
+ENTRY = np.dtype([("name", "V32"), ("n", "<u4")])
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path)
+        made = WordEncoder(path)
+        width, last_id = made.kind.itemsize, np.array([end], made.kind).tobytes()
         seen: set[bytes] = set()  # of this task: what is repeated here is not sent again
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 kind, key, doc_id, n, payload = [], [], [], [], []
-                for doc, ids in zip(batch.column(0).to_pylist(), made.encode(batch.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, ids.dtype.type(end))
-                    narrow, wide = ids.tobytes(), ids.astype("<u4").tobytes()
-                    width, last, names = ids.itemsize, 0, []
-                    for cut in cuts(ids):
-                        name = hashlib.sha256(wide[4 * last : 4 * cut]).digest()
+                streams = [ids + last_id for ids in made.encode(batch.column(1).to_pylist())]
+                places = marks(np.frombuffer(b"".join(streams), made.kind))
+                starts = np.cumsum([0, *(len(s) // width for s in streams)])
+                bounds = np.searchsorted(places, starts, "right")
+                for i, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), streams, strict=True)):
+                    own = (places[bounds[i] : bounds[i + 1]] - starts[i]).tolist()
+                    last, names, recipe = 0, [], []
+                    for cut in cuts(own, len(ids) // width):
+                        chunk = ids[width * last : width * cut]
+                        name = hashlib.sha256(chunk).digest()
                         names.append(name)
+                        recipe.append(name + (cut - last).to_bytes(4, "little"))
                         if name not in seen:
                             if len(seen) < 1_000_000:
                                 seen.add(name)
-                            for column, value in zip((kind, key, doc_id, n, payload), ("chunk", name, None, cut - last, narrow[width * last : width * cut]), strict=True):
-                                column.append(value)
+                            kind.append("chunk")
+                            key.append(name)
+                            doc_id.append(None)
+                            n.append(cut - last)
+                            payload.append(chunk)
                         last = cut
-                    for column, value in zip((kind, key, doc_id, n, payload), ("recipe", merkle(names), doc, len(ids), b"".join(names)), strict=True):
-                        column.append(value)
+                    kind.append("recipe")
+                    key.append(merkle(names))
+                    doc_id.append(doc)
+                    n.append(len(ids) // width)
+                    payload.append(b"".join(recipe))
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], ["kind", "key", "doc_id", "n", "payload"])
 
     return run
@@ -131,7 +146,7 @@ def write(docs: DataFrame, store: str, path: str, end: int = 2) -> None:
     # Recipes go anywhere, chunks to the partition of their name; the payload is shuffled and written once.
     spread = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
     objects = objects.repartition(parts, spread).mapInArrow(_once, OBJECTS)
-    objects.write.option("compression", "zstd").partitionBy("kind").parquet(f"{store}/objects")
+    objects.write.option("compression", "snappy").partitionBy("kind").parquet(f"{store}/objects")
     found = docs.sparkSession.read.schema(OBJECTS).parquet(f"{store}/objects").where("kind = 'recipe'")
     found = found.selectExpr("doc_id", "n n_tokens", "payload names", "key root")
     found = found.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_placed, f"{RECIPES}, part int, local_start long")
@@ -151,22 +166,41 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads chunks: compares each with its name and takes its CRC-32."""
+    """Reads chunks: compares each with its name and takes the CRC-32 of its ids as 32-bit numbers."""
     for batch in batches:
         crc = []
         for name, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            ids = np.frombuffer(payload, f"<u{len(payload) // n}").astype("<u4").tobytes()
-            if hashlib.sha256(ids).digest() != name:
+            if hashlib.sha256(payload).digest() != name:
                 raise ValueError(f"chunk {name.hex()} is damaged")
-            crc.append(zlib.crc32(ids))
+            crc.append(zlib.crc32(np.frombuffer(payload, WIDTHS[len(payload) // n]).astype(np.uint32)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64())], ["name", "n", "crc"])
 
 
-@lru_cache(4096)
-def _shift(length: int) -> tuple[int, ...]:
-    """What ``length`` zero bytes make of each bit of a CRC-32."""
+ENTRIES = "doc_id long, start long, n_tokens long, name binary, n long, after long"
+
 
-    def times(m: tuple[int, ...], v: int) -> int:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads recipes: compares each with its Merkle root and gives a row per chunk, with the number of ids after it."""
+    for batch in batches:
+        many, names, n, after = [], [], [], []
+        for recipe, root, total in zip(*(batch.column(i).to_pylist() for i in (3, 4, 2)), strict=True):
+            own = [recipe[i : i + 32] for i in range(0, len(recipe), 36)]
+            size = np.frombuffer(recipe, ENTRY)["n"].astype(np.int64)
+            if merkle(own) != root or size.sum() != total:
+                raise ValueError(f"recipe {root.hex()} doesn't hold")
+            many.append(len(own))
+            names += own
+            n.append(size)
+            after.append(total - np.cumsum(size))
+        if many:
+            rows = pa.array(np.repeat(np.arange(len(many)), many))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), pa.array(names, pa.binary()), pa.array(np.concatenate(n)), pa.array(np.concatenate(after))], ["doc_id", "start", "n_tokens", "name", "n", "after"])
+
+
+def _powers() -> np.ndarray:
+    """Row k, as four tables of 256: what 4 * 2**k zero bytes make of a CRC-32."""
+
+    def times(m: list[int], v: int) -> int:
         out, i = 0, 0
         while v:
             if v & 1:
@@ -174,40 +208,33 @@ def _shift(length: int) -> tuple[int, ...]:
             v, i = v >> 1, i + 1
         return out
 
-    power = (0xEDB88320, *(1 << i for i in range(31)))  # one bit
-    for _ in range(3):
-        power = tuple(times(power, x) for x in power)  # one byte in the end
-    out = tuple(1 << i for i in range(32))
-    while length:
-        if length & 1:
-            out = tuple(times(power, x) for x in out)
-        power, length = tuple(times(power, x) for x in power), length >> 1
-    return out
+    matrix = [0xEDB88320, *(1 << i for i in range(31))]  # one bit
+    tables = []
+    for step in range(5 + 32):
+        if step >= 5:  # 32 bits, then twice as many each time
+            tables.append([[times(matrix, byte << 8 * place) for byte in range(256)] for place in range(4)])
+        matrix = [times(matrix, x) for x in matrix]
+    return np.array(tables, np.uint32)
 
 
-def join_crc(first: int, second: int, length: int) -> int:
-    """CRC-32 of two strings in a row from those of each and the length of the second."""
-    rows, i = _shift(length), 0
-    while first:
-        if first & 1:
-            second ^= rows[i]
-        first, i = first >> 1, i + 1
-    return second
+def shift_crc(crc: np.ndarray, after: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The share that a part's CRC-32 has in that of a whole with ``after`` 32-bit numbers behind the part. The whole's
+    CRC-32 is the exclusive or of all shares. ``tables`` are :func:`_powers`."""
+    crc, after = crc.astype(np.uint32), after.astype(np.int64)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        t = tables[k]
+        moved = t[0][crc & 255] ^ t[1][crc >> 8 & 255] ^ t[2][crc >> 16 & 255] ^ t[3][crc >> 24]
+        crc = np.where(after >> k & 1, moved, crc)
+    return crc
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crcs = []
-        for n, root, names, parts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_tokens", "root", "names", "parts")), strict=True):
-            parts.sort(key=lambda p: p["k"])
-            listed = [names[i : i + 32] for i in range(0, len(names), 32)]
-            if [p["k"] for p in parts] != list(range(len(listed))) or sum(p["n"] for p in parts) != n or merkle(listed) != root:
-                raise ValueError(f"recipe {root.hex()} doesn't hold")
-            crc = 0
-            for p in parts:
-                crc = join_crc(crc, p["crc"], 4 * p["n"])
-            crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _shares(tables):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = shift_crc(batch.column(4).to_numpy(), batch.column(5).to_numpy(), tables.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(share.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "share"])
+
+    return run
 
 
 def _tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
@@ -219,32 +246,37 @@ def _tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     return chunks, recipes
 
 
+def _listed(recipes: DataFrame) -> DataFrame:
+    return recipes.select("doc_id", "start", "n_tokens", "names", "root").mapInArrow(_entries, ENTRIES)
+
+
 def summaries(spark: SparkSession, store: str) -> DataFrame:
     """Per document of the store: doc_id, start, n_tokens, and the CRC-32 of its ids, from the verified files.
 
-    Chunks are read and verified once each; a document's CRC follows from those of its chunks in the order of its
-    recipe, so payloads need not move again.
+    Chunks are read and verified once each; a document's CRC follows from those of its chunks and their places in its
+    recipe, so payloads need not move again. A chunk of very many documents makes a skewed join side, which adaptive
+    execution splits.
     """
     chunks, recipes = _tables(spark, store)
-    checked = chunks.mapInArrow(_check, "name binary, n long, crc long")
-    names = F.expr("transform(sequence(0, length(names) div 32 - 1), k -> struct(k as k, substring(names, k * 32 + 1, 32) as name))")
-    listed = recipes.select("part", "local_start", F.explode(names).alias("e")).select("part", "local_start", "e.k", "e.name")
-    # A chunk of very many documents makes a skewed join side, which adaptive execution splits.
-    parts = listed.join(checked, "name").groupBy("part", "local_start").agg(F.collect_list(F.struct("k", "n", "crc")).alias("parts"))
-    whole = recipes.join(parts, ["part", "local_start"], "left")
-    return whole.select("doc_id", "start", "n_tokens", "root", "names", F.coalesce("parts", F.array().cast("array<struct<k:int,n:bigint,crc:bigint>>")).alias("parts")).mapInArrow(_whole, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    checked = chunks.mapInArrow(_check, "name binary, n long, crc long").select("name", F.col("n").alias("there"), "crc")
+    found = _listed(recipes).join(checked, "name", "left").select("doc_id", "start", "n_tokens", _same("n", "there").alias("n"), "crc", "after")
+    shares = found.mapInArrow(_shares(spark.sparkContext.broadcast(_powers())), "doc_id long, start long, n_tokens long, n long, share long")
+    whole = shares.groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("share").alias("ids_crc32"))
+    return whole.select("doc_id", "start", _same("n_tokens", "n").alias("n_tokens"), "ids_crc32")
+
+
+def _same(a: str, b: str):
+    return F.when(F.col(a) == F.col(b), F.col(a)).otherwise(F.raise_error(F.lit("the store lacks a chunk or has one of another length")).cast("long"))
 
 
 def read(spark: SparkSession, store: str) -> DataFrame:
     """The documents of the store again: doc_id, start, ids (little-endian unsigned 32-bit)."""
     chunks, recipes = _tables(spark, store)
-    names = F.expr("transform(sequence(0, length(names) div 32 - 1), k -> struct(k as k, substring(names, k * 32 + 1, 32) as name))")
-    listed = recipes.select("part", "local_start", "doc_id", "start", F.explode(names).alias("e")).select("*", "e.k", "e.name").drop("e")
-    parts = listed.join(chunks, "name").groupBy("part", "local_start", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "n", "payload"))).alias("parts"))
+    parts = _listed(recipes).join(chunks.drop("n"), "name", "left").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("after", "n", "payload")), asc=False).alias("parts"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [b"".join(np.frombuffer(p["payload"], f"<u{len(p['payload']) // p['n']}").astype("<u4").tobytes() for p in parts) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
-    return parts.select("doc_id", "start", "parts").mapInArrow(joined, "doc_id long, start long, ids binary")
+    return parts.mapInArrow(joined, "doc_id long, start long, ids binary")

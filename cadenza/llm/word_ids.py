@@ -20,6 +20,7 @@ from .byte_bpe import byte_characters
 
 #: Characters that Python but not the library takes for white space.
 ODD = "\x1c\x1d\x1e\x1f"
+LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
 SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
@@ -37,10 +38,10 @@ class _Units(dict):
 
 
 class WordEncoder:
-    """``most`` bounds the table of pre-tokens and two fifths of it that of stretches (some 200 bytes an entry). A full
-    one keeps the half that came first, in which frequent ones are."""
+    """``most`` bounds the tables of stretches and of marks between letters (some 200 bytes an entry). A full one keeps the
+    half that came first, in which frequent ones are."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,16 +64,18 @@ class WordEncoder:
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        if LOWER(unit):
+            return self._part(unit)
         if not SIMPLE(unit) or "<|" in unit:
             return self._ids(unit)
-        parts = PARTS(unit.lower())
-        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        # Letters are looked up as stretches of their own, so a word is encoded once whatever stands around it.
+        return b"".join([self.units[p] if p[0].isalpha() else self.parts[p] for p in PARTS(unit.lower())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as numbers of :attr:`kind`, the narrowest that holds them all."""
-        for table, most in ((self.units, self.most * 2 // 5), (self.parts, self.most)):
-            if len(table) >= most:
-                kept = list(islice(table.items(), most // 2))
+        for table in (self.units, self.parts):
+            if len(table) >= self.most:
+                kept = list(islice(table.items(), self.most // 2))
                 table.clear()
                 table.update(kept)
         out, get = [], self.units.__getitem__
