@@ -55,6 +55,15 @@ def seq_prefix_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trajectory.summarize(prefix, ["user_id", "up_to_rep"], ["i"], "value"))
 
 
+@query()
+def seq_prefix_summaries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To-date summaries of each sequence at every one of its values; the SQL above stops at the twelfth, so a test by brute
+    force stands in for it."""
+    df = events(spark, sf_dir)
+    prefix = df.select("user_id", F.col("i").alias("up_to_rep")).join(df.select("user_id", "i", "value"), "user_id").where("i <= up_to_rep")
+    return rounded(trajectory.summarize(prefix, ["user_id", "up_to_rep"], ["i"], "value"))
+
+
 @query(f"WITH {EVENTS}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) AS dt FROM ev) SELECT user_id, event_id, {r('dt', 3)} AS dt, coalesce(dt > 86400, false) AS gap FROM g")
 def seq_gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sequence.steps(events(spark, sf_dir), "user_id", "t", 86400.0)
