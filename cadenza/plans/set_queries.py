@@ -223,6 +223,13 @@ def completed_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.concordance(df, "user_id", "truth", "value"))
 
 
+@query(f"WITH {EVENTS}, v AS (SELECT user_id, i, value FROM ev) SELECT a.user_id, count(*) AS pairs, {r('avg(CASE WHEN abs(a.value - b.value) <= 1e-8 + 1e-5 * abs(b.value) THEN 0.5 WHEN a.value < b.value THEN 1 ELSE 0 END)')} AS concordance FROM v a JOIN v b ON a.user_id = b.user_id AND a.i < b.i GROUP BY 1")
+def completed_concordance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs of a user's events; the SQL above stops at the twentieth event."""
+    df = events(spark, sf_dir).select("user_id", F.col("i").alias("truth"), "value")
+    return rounded(evaluate.concordance(df, "user_id", "truth", "value"))
+
+
 @query("SELECT round(avg((abs(l_discount * 100 - l_tax * 100) <= 1 + 1e-9)::INT), 6) + 0.0 AS accuracy FROM lineitem")
 def accuracy_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 100).alias("a"), (F.col("l_tax") * 100).alias("b"))

@@ -28,3 +28,14 @@ def test_prefix_summaries_of_all_events(spark, sf_dir):
                 best = min(two, key=two.get)
                 assert row["breakpoint"] == best + 1
                 np.testing.assert_allclose(row["breakpoint_gain"], 1 - two[best] / sse(x, part), atol=2e-6)
+
+
+def test_concordance_of_all_pairs(spark, sf_dir):
+    got = registry.QUERIES["completed_concordance_whole"](spark, sf_dir).toPandas().set_index("user_id")
+    sequences = events(spark, sf_dir).toPandas().sort_values("i").groupby("user_id")["value"]
+    assert sequences.size().max() > 20 and set(got.index) == set(sequences.groups)
+    for user, y in sequences:
+        a, b = (y.to_numpy()[k] for k in np.triu_indices(len(y), 1))
+        gain = np.where(np.abs(a - b) <= 1e-8 + 1e-5 * np.abs(b), 0.5, a < b)
+        assert got.loc[user, "pairs"] == len(a)
+        np.testing.assert_allclose(got.loc[user, "concordance"], gain.mean(), atol=1e-6)
