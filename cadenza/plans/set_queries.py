@@ -284,6 +284,13 @@ def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("set_id", "rep_index", metadata.rep_id(F.col("set_id").cast("string"), F.col("rep_index")).alias("rep_id")).orderBy("set_id", "rep_index")
 
 
+@query(f"WITH {LINES} SELECT set_id, rep_index, printf('%d:rep%03d', set_id, rep_index) AS rep_id FROM li ORDER BY 1, 2")
+def metadata_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the repetitions of every set; the SQL above takes one set in a hundred."""
+    df = lines(spark, sf_dir)
+    return df.select("set_id", "rep_index", metadata.rep_id(F.col("set_id").cast("string"), F.col("rep_index")).alias("rep_id")).orderBy("set_id", "rep_index")
+
+
 @query(f"""WITH q AS (SELECT o_orderkey, 5.5 + (o_orderkey % 53) / 10.0::DOUBLE AS rpe FROM orders) SELECT o_orderkey, CAST(least(greatest(ceil((rpe - 6.0) / 0.5 - 0.5), 0), 8) AS INT) AS level, round_even(2 * rpe, 0) / 2 AS half FROM q""")
 def rpe_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(5.5) + (F.col("o_orderkey") % 53) / F.lit(10.0)).alias("rpe"))

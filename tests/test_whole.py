@@ -3,7 +3,7 @@
 import numpy as np
 
 from cadenza.plans import registry
-from cadenza.plans.tables import events
+from cadenza.plans.tables import events, table
 
 
 def sse(x, y):
@@ -39,3 +39,10 @@ def test_concordance_of_all_pairs(spark, sf_dir):
         gain = np.where(np.abs(a - b) <= 1e-8 + 1e-5 * np.abs(b), 0.5, a < b)
         assert got.loc[user, "pairs"] == len(a)
         np.testing.assert_allclose(got.loc[user, "concordance"], gain.mean(), atol=1e-6)
+
+
+def test_lookup_of_every_line(spark, sf_dir):
+    got = registry.QUERIES["metadata_lookup_whole"](spark, sf_dir).toPandas()
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().orderBy("l_orderkey").collect()
+    want = [(r[0], k, f"{r[0]}:rep{k:03d}") for r in per for k in range(1, r[1] + 1)]
+    assert list(got.itertuples(index=False, name=None)) == want
