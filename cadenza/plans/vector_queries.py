@@ -40,6 +40,14 @@ def vector_resample64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
 
 
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v, len(embedding) n, unnest(generate_series(0, 95)) k FROM embeddings), a AS (SELECT *, k * (n - 1) / 95.0::DOUBLE p, least(floor(k * (n - 1) / 95.0::DOUBLE), n - 2)::INT f FROM e) SELECT vec_id, CAST(k AS BIGINT) AS pos, {r('v[f + 1] + (v[f + 2] - v[f + 1]) * (p - f)')} AS v FROM a")
+def vector_resample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components on 96 points; the SQL above drops those after the fortieth."""
+    df = _vectors(spark, sf_dir)
+    df = df.select("vec_id", F.posexplode(vectors.resampled(F.col("v"), 96)).alias("pos", "v"))
+    return rounded(df.select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
+
+
 @query(f"WITH m AS (SELECT vec_id, embedding::DOUBLE[] v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) p FROM embeddings), u AS (SELECT vec_id, p, unnest(v) x, generate_subscripts(v, 1) - 1 AS pos FROM m) SELECT vec_id, CAST(pos AS BIGINT) AS pos, {r('CASE WHEN p > 1e-9 THEN x / p ELSE x END')} AS v FROM u")
 def vector_unit_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _vectors(spark, sf_dir).select("vec_id", F.posexplode(vectors.unit_peak(F.col("v"))).alias("pos", "v"))
@@ -58,6 +66,14 @@ def vector_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("vec_id", vectors.dtw_distance(F.slice("v", 1, 8), F.slice("v", 9, 6)).alias("distance")))
 
 
+@query()
+def vector_dtw_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warping distance of the first half of each vector to its second half, without SQL."""
+    half = F.floor(F.size("v") / 2).cast("int")
+    df = _vectors(spark, sf_dir)
+    return rounded(df.select("vec_id", vectors.dtw_distance(F.slice("v", F.lit(1), half), F.slice("v", half + 1, F.size("v") - half)).alias("distance")))
+
+
 @query()
 def vector_dtw_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warping distance of each whole vector to its label's mean."""

@@ -46,3 +46,25 @@ def test_lookup_of_every_line(spark, sf_dir):
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().orderBy("l_orderkey").collect()
     want = [(r[0], k, f"{r[0]}:rep{k:03d}") for r in per for k in range(1, r[1] + 1)]
     assert list(got.itertuples(index=False, name=None)) == want
+
+
+def warping(a, b):
+    w = np.full((len(a) + 1, len(b) + 1), np.inf)
+    w[0, 0] = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            w[i + 1, j + 1] = abs(a[i] - b[j]) + min(w[i, j], w[i, j + 1], w[i + 1, j])
+    return w[-1, -1] / (len(a) + len(b))
+
+
+def test_whole_vectors(spark, sf_dir):
+    vectors = {r[0]: np.array(r[1], float) for r in table(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()}
+    far = registry.QUERIES["vector_dtw_whole"](spark, sf_dir).toPandas().set_index("vec_id")["distance"]
+    curves = registry.QUERIES["vector_resample_whole"](spark, sf_dir).toPandas().sort_values("pos").groupby("vec_id")["v"]
+    assert set(far.index) == set(vectors) == set(curves.groups)
+    for key in sorted(vectors)[:40]:
+        v = vectors[key]
+        np.testing.assert_allclose(far[key], warping(v[: len(v) // 2], v[len(v) // 2 :]), atol=2e-6)
+        curve = curves.get_group(key).to_numpy()
+        np.testing.assert_allclose(curve, np.interp(np.linspace(0, len(v) - 1, 96), np.arange(len(v)), v), atol=2e-6)
+        assert abs(curve[-1] - v[-1]) < 2e-6
