@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cadenza.plans import registry
+from cadenza.plans import imu_queries, registry
 from cadenza.plans.tables import events, table
 
 
@@ -68,3 +68,19 @@ def test_whole_vectors(spark, sf_dir):
         curve = curves.get_group(key).to_numpy()
         np.testing.assert_allclose(curve, np.interp(np.linspace(0, len(v) - 1, 96), np.arange(len(v)), v), atol=2e-6)
         assert abs(curve[-1] - v[-1]) < 2e-6
+
+
+def test_every_gate_of_every_layer(spark):
+    got = imu_queries.full_metrics(spark, 8, 4, (5,)).toPandas()
+    assert got.groupby("layer", sort=False).size().to_dict() == {"conditioning": 2, "segmentation": 2, "form": 1, "rir": 4, "rpe": 3, "divergence": 2}
+    assert got["value"].notna().all() and got.loc[got["threshold"].isna(), "name"].tolist() == ["majority_within_one"]
+    assert got.loc[got["layer"].isin(["conditioning", "segmentation", "form"]), "passed"].all()
+
+
+def test_predictions_take_every_corpus(spark, monkeypatch):
+    hazard, effort, asked = imu_queries._hazard_model(spark, 5, 6, 3), imu_queries._rpe_model(spark, 5, 6, 3), []
+    monkeypatch.setattr(imu_queries, "_hazard_model", lambda _, *sizes: asked.append(sizes) or hazard)
+    monkeypatch.setattr(imu_queries, "_rpe_model", lambda _, *sizes: asked.append(sizes) or effort)
+    for name, held in (("rir_hazard_predictions", hazard[2]), ("rpe_ordinal_predictions", effort[2])):
+        assert registry.QUERIES[name](spark, "").groupBy("seed").count().toPandas().set_index("seed")["count"].to_dict() == dict.fromkeys((5, 11, 23), held.count())
+    assert asked == 2 * [(5, 24, 6), (11, 24, 6), (23, 24, 6)]
