@@ -4,10 +4,10 @@ A rolling hash over the last ids cuts each document's stream into chunks, so equ
 they stand. A chunk is stored once, its ids in the narrowest width that holds the vocabulary, and named by the SHA-256
 of what is stored. A recipe lists the names and lengths of a document's chunks and has their Merkle root; recipes stand
 in ascending doc_id order in range partitions, and the manifest has each partition's base, length and the Merkle root
-over its recipes. Below the store's path lie the Parquet folders ``objects/kind=chunk``, ``recipes`` and ``manifest``.
+over its recipes with their documents' ids. Below the store's path lie the Parquet folders ``objects/kind=chunk``, ``recipes`` and ``manifest``.
 
-Reading verifies every chunk against its name, every recipe against its root, and lengths against both; a difference
-is an error. A null text is empty: its stream is the end id. Null ids come first; repeated rows are documents of
+Reading verifies every chunk against its name, every recipe against its root, lengths against both, and each partition's
+recipes against the manifest, so that a lost, added, exchanged or renamed one is found; a difference is an error. A null text is empty: its stream is the end id. Null ids come first; repeated rows are documents of
 their own, in a fixed order. Other columns are ignored. An empty table gives an empty store.
 """
 
@@ -27,6 +27,8 @@ from .word_ids import WordEncoder
 
 LEAST, MEAN, MOST = 64, 256, 1024
 WINDOW = 4
+#: Names of chunks a task remembers, some 100 bytes each. They only spare repeats the shuffle.
+SEEN = 100_000
 
 
 def marks(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -57,8 +59,31 @@ def cuts(places: list[int], n: int, least: int = LEAST, most: int = MOST) -> lis
     return out
 
 
+class Merkle:
+    """A binary Merkle tree that grows by a leaf at a time and holds only the roots of its full parts, at most one of each
+    height. Leaves and inner nodes are hashed with different prefixes."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.parts and self.parts[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.parts.pop()[1] + node).digest()
+            height += 1
+        self.parts.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.parts:
+            return hashlib.sha256(b"").digest()
+        node = self.parts[-1][1]
+        for _, before in reversed(self.parts[:-1]):
+            node = hashlib.sha256(b"\1" + before + node).digest()
+        return node
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary Merkle tree; leaves and inner nodes are hashed with different prefixes."""
+    """Root of a binary Merkle tree over ``leaves``."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
     while len(level) > 1:
         level = [hashlib.sha256(b"\1" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
@@ -76,7 +101,7 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = WordEncoder(path)
         width, last_id = made.kind.itemsize, np.array([end], made.kind).tobytes()
-        seen: set[bytes] = set()  # of this task: what is repeated here is not sent again
+        seen: set[bytes] = set()  # of this task: what is repeated here is seldom sent again
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
@@ -94,8 +119,9 @@ def _encode(path: str, end: int):
                         names.append(name)
                         recipe.append(name + (cut - last).to_bytes(4, "little"))
                         if name not in seen:
-                            if len(seen) < 1_000_000:
-                                seen.add(name)
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(name)
                             kind.append("chunk")
                             key.append(name)
                             doc_id.append(None)
@@ -113,14 +139,13 @@ def _encode(path: str, end: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops chunks that came before in this partition, which has all those of the same name."""
-    seen: set[bytes] = set()
+    """Drops chunks of the same name as the one before; the partition has all those of a name, sorted."""
+    last = None
     for batch in batches:
         keep = []
         for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keep.append(kind != "chunk" or key not in seen)
-            if kind == "chunk":
-                seen.add(key)
+            keep.append(kind != "chunk" or key != last)
+            last = key if kind == "chunk" else last
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -145,24 +170,44 @@ def write(docs: DataFrame, store: str, path: str, end: int = 2) -> None:
     objects = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_encode(path, end), OBJECTS)
     # Recipes go anywhere, chunks to the partition of their name; the payload is shuffled and written once.
     spread = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
-    objects = objects.repartition(parts, spread).mapInArrow(_once, OBJECTS)
+    objects = objects.repartition(parts, spread).sortWithinPartitions("kind", "key").mapInArrow(_once, OBJECTS)
     objects.write.option("compression", "snappy").partitionBy("kind").parquet(f"{store}/objects")
     found = docs.sparkSession.read.schema(OBJECTS).parquet(f"{store}/objects").where("kind = 'recipe'")
     found = found.selectExpr("doc_id", "n n_tokens", "payload names", "key root")
     found = found.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root").mapInArrow(_placed, f"{RECIPES}, part int, local_start long")
     recipes = written(found, f"{store}/recipes", compression="zstd")
-    roots = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("r"))
     totals, base = [], 0
-    for row in roots.mapInArrow(_roots, "part int, n_docs long, n_tokens long, root binary").orderBy("part").collect():
-        totals.append((row["part"], base, row["n_docs"], row["n_tokens"], bytes(row["root"])))
-        base += row["n_tokens"]
-    docs.sparkSession.createDataFrame(totals, "part int, base long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{store}/manifest")
+    for part, n_docs, n_tokens, root in sums(recipes):
+        totals.append((part, base, n_docs, n_tokens, root))
+        base += n_tokens
+    docs.sparkSession.createDataFrame(totals, MANIFEST).coalesce(1).write.parquet(f"{store}/manifest")
+
+
+MANIFEST = "part int, base long, n_docs long, n_tokens long, root binary"
+
+
+def sums(recipes: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """Of each partition, in order: its number, documents, ids, and the Merkle root over its recipes in their order."""
+    parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = recipes.select("part", "local_start", "doc_id", "n_tokens", "root").repartition(parts, "part").sortWithinPartitions("part", "local_start")
+    return [(r[0], r[1], r[2], bytes(r[3])) for r in rows.mapInArrow(_roots, "part int, n_docs long, n_tokens long, root binary").orderBy("part").collect()]
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, n_docs, n_tokens, tree = None, 0, 0, Merkle()
+    told = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_docs]), pa.array([n_tokens]), pa.array([tree.root()], pa.binary())], ["part", "n_docs", "n_tokens", "root"])
     for batch in batches:
-        root = [merkle([x["root"] for x in rows]) for rows in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(root, pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+        for now, start, doc, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != part:
+                if n_docs:
+                    yield told()
+                part, n_docs, n_tokens, tree = now, 0, 0, Merkle()
+            if start != n_tokens:
+                raise ValueError(f"partition {now} of the recipes has a gap or a repeat at {start}")
+            tree.add(f"{doc},{n},".encode() + root)
+            n_docs, n_tokens = n_docs + 1, n_tokens + n
+    if n_docs:
+        yield told()
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +284,11 @@ def _shares(tables):
 
 def _tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     chunks = spark.read.schema(OBJECTS).parquet(f"{store}/objects").where("kind = 'chunk'").select(F.col("key").alias("name"), "n", "payload")
-    base = {r["part"]: r["base"] for r in spark.read.parquet(f"{store}/manifest").collect()}
+    manifest = [tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{store}/manifest").orderBy("part").collect()]
+    found = sums(spark.read.parquet(f"{store}/recipes"))
+    if [(part, n_docs, n_tokens, bytes(root)) for part, _, n_docs, n_tokens, root in manifest] != found:
+        raise ValueError("the recipes are not those of the manifest")
+    base = {part: before for part, before, *_ in manifest}
     # A row per partition of the recipes, so as a map in the plan.
     at = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])[F.col("part")] if base else F.lit(0)
     recipes = spark.read.parquet(f"{store}/recipes").withColumn("start", F.col("local_start") + at.cast("long"))

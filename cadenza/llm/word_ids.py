@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import weakref
 from array import array
 from itertools import islice
 
@@ -18,6 +19,8 @@ import numpy as np
 
 from .byte_bpe import byte_characters
 
+#: Longer stretches are not remembered.
+LONGEST = 64
 #: Characters that Python but not the library takes for white space.
 ODD = "\x1c\x1d\x1e\x1f"
 LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -26,22 +29,25 @@ PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
 class _Units(dict):
-    """Ids of stretches, learnt when they are first asked for."""
+    """Ids of stretches, learnt when they are first asked for. ``learn`` must not hold the table's owner: a cycle would
+    keep the tables of ended tasks until the collector comes by, which counts objects, not bytes."""
 
     def __init__(self, learn) -> None:
         super().__init__()
         self.learn = learn
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = self.learn(unit)
+        found = self.learn(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = found
         return found
 
 
 class WordEncoder:
-    """``most`` bounds the tables of stretches and of marks between letters (some 200 bytes an entry). A full one keeps the
-    half that came first, in which frequent ones are."""
+    """``most`` bounds the tables of stretches and of marks between letters, of LONGEST characters at most each: some 200
+    bytes an entry, 500 at most. A full one keeps the half that came first, in which frequent ones are."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +58,8 @@ class WordEncoder:
         self.kind = np.dtype("<u4" if self.code == "I" else "<u2")
         self.model = self.made.model
         self.chars = dict(enumerate(byte_characters()))
-        self.units, self.parts = _Units(self._unit), _Units(self._part)
+        own = weakref.proxy(self)
+        self.units, self.parts = _Units(lambda unit: own._unit(unit)), _Units(lambda part: own._part(part))
         self.most = most
 
     def _ids(self, text: str) -> bytes:
