@@ -2,16 +2,19 @@
 
 Ordinary documents go to the library in batches. A document longer than ``chunk`` characters is encoded in overlapping
 chunks with offsets; two neighbours are spliced at a boundary that both of them have and that the text proves stable,
-and the overlap is widened, in the end to all that is left, where none is found.
+and the overlap is widened where the two do not align.
 
 A null text counts as empty (no tokens, no bytes). Each row gives one row, whatever its id. Special strings inside
 texts are handled as the library does by default. Other columns are ignored. Memory is that of an Arrow batch and one
-chunk's encoding.
+chunk's encoding; a stretch without any stable place, such as a million letters in a row, is one pre-token to the library
+too and is encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,58 +23,76 @@ from pyspark.sql import DataFrame
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
+SPACES = " \t\n\r"
+
+
+def _class(char: str) -> str:
+    """By an old version of Unicode, on which all libraries agree."""
+    kind = unicodedata.ucd_3_2_0.category(char)
+    return kind if kind == "Cn" else kind[0] if kind[0] in "LN" else "other"
+
+
 def stable(text: str, at: int) -> bool:
     """Whether a pre-token ends at ``at`` whatever stands further left or right.
 
-    A character that isn't white space, then a single space, then another such character: no pre-token has white
-    space after anything else, and a space directly before a character that isn't white space begins its pre-token.
+    No pre-token has white space after anything else, and none has characters of two of the classes letters, digits and
+    others, but for a space at its beginning and contractions, which begin with an apostrophe.
     """
-    return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
+    if not 0 < at < len(text):
+        return False
+    a, b = text[at - 1], text[at]
+    if a.isspace() or a == "'":
+        return False
+    if b in SPACES:
+        return True
+    kinds = _class(a), _class(b)
+    return not b.isspace() and kinds[0] != kinds[1] and "Cn" not in kinds and "<" not in (a, b) and "|" not in (a, b)
+
+
+def edges(text: str, chunk: int) -> Iterator[int]:
+    """Stable places about ``chunk`` characters apart, farther only where there are none; the last one is the end."""
+    at = 0
+    while len(text) - at > chunk:
+        end = at + chunk
+        last = next((k for k in range(end, end - chunk // 2, -1) if stable(text, k)), None)
+        at = last or next((k for k in range(end + 1, len(text)) if stable(text, k)), len(text))
+        if at < len(text):
+            yield at
+    yield len(text)
 
 
 def count_long(text: str, encode: Callable[[str], object], chunk: int, overlap: int) -> int:
-    """Tokens of ``text``; ``encode`` returns an encoding with ``offsets``."""
-    total, base = 0, 0  # base: where the current chunk begins in the text
-    ends = [b for _, b in encode(text[:chunk]).offsets]
-    taken = 0  # tokens of the current chunk that are counted already
-    while base + chunk < len(text):
-        over, edge = overlap, base + chunk
+    """Tokens of ``text``; ``encode`` returns an encoding with ``offsets``.
+
+    Each chunk is encoded with ``overlap`` more characters on either side and its tokens are counted between two edges
+    that are ends of tokens in both chunks that meet there. Where an edge is none, the overlap is widened, and at last
+    the edge is given up and the chunks on its two sides are one.
+    """
+    total, left = 0, 0
+    for right in edges(text, chunk):
+        over = overlap
         while True:
-            start = max(base, edge - over)
-            nxt = [b for _, b in encode(text[start : start + chunk + over]).offsets]
-            cut = splice(text, base, ends, start, nxt, edge, taken)
-            if cut is not None:
+            start, end = max(0, left - over), min(len(text), right + over)
+            offsets = encode(text[start:end]).offsets
+            first, last = upto(offsets, left - start), upto(offsets, right - start)
+            if end == right == len(text):
+                last = len(offsets)
+            if first is not None and (last is not None or over > chunk):
                 break
-            over *= 2
-            if edge - over <= base:  # nothing to align with: widen to the right as well, up to the whole rest
-                chunk *= 2
-                if base + chunk >= len(text):
-                    whole = encode(text[base:]).offsets
-                    return total + len(whole) - taken
-                ends = [b for _, b in encode(text[base : base + chunk]).offsets]
-                over, edge = overlap, base + chunk
-        left, right = cut
-        total += left - taken
-        base, ends, taken = start, nxt, right
-        chunk = max(chunk, 1)
-        if start + chunk + over >= len(text):
-            return total + len(ends) - taken
-        edge = base + chunk + over
-        chunk = edge - base
-    return total + len(ends) - taken
-
-
-def splice(text: str, base: int, ends: list[int], start: int, nxt: list[int], edge: int, taken: int) -> tuple[int, int] | None:
-    """How many tokens of either chunk lie before the last stable boundary that both have, or None."""
-    mine = {b + base: i + 1 for i, b in enumerate(ends) if b + base >= start and i + 1 >= taken}
-    found = None
-    for i, b in enumerate(nxt):
-        at = b + start
-        if at >= edge - 1:
-            break
-        if at in mine and at > start and stable(text, at):
-            found = (mine[at], i + 1)
-    return found
+            if start == 0 and end == len(text):
+                return len(offsets)
+            over *= 4
+        if last is not None:
+            total, left = total + last - first, right
+    return total
+
+
+def upto(offsets: list[tuple[int, int]], at: int) -> int | None:
+    """How many tokens there are up to one that ends at ``at``, or None if none does."""
+    if at == 0:
+        return 0
+    k = bisect_right(offsets, at, key=lambda x: x[1])
+    return k if k and offsets[k - 1][0] < offsets[k - 1][1] == at else None
 
 
 def counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = 65_536, overlap: int = 1_024) -> DataFrame:
