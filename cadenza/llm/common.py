@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in a test on one machine, a temporary folder stands in for it.
+    Only where that setting is missing and the master is local, as in a test, a temporary folder stands in for it; on a
+    cluster executors would not see each other's files there, so the setting is asked for.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.get(spark.sparkContext.applicationId)
         if base is None:
             base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="cadenza-")
