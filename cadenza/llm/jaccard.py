@@ -3,40 +3,49 @@
 A document's set is that of its distinct five-word shingles, as 64-bit hashes. Two documents link at a similarity of
 0.8 or more, that is within a distance of 0.2. Equal sets are one point of the space, with one 64-bit name.
 
-* **Pivots and regions.** All shingles are ordered by how many documents hold them, rarest first (counts by hashed
-  buckets over the whole corpus; the order only has to be the same for all). Documents within 0.2 share one of the
-  first ``n - ceil(0.8 n) + 1`` shingles of each, so every such shingle is a cell, and the cell's smallest document is
-  the pivot whose region its documents enter. The Voronoi region of a document is that of the nearest pivot it meets;
-  documents near a border share shingles with several pivots and are replicated to each of their regions.
-* **Windows.** The distance to the pivot is taken exactly. Those within 0.2 link to the pivot and so to each other's
-  component; for a pair that is still open, distances to the pivot that differ by more than 0.2 rule it out by the
-  triangle inequality, and so do sizes that differ too much and shingles left behind the first common one.
-* **Recursion.** What a region leaves open, documents outside the ball and those inside that their windows reach, goes
-  into the next round with 16, 256, ... further pivots a cell, until no cell has two documents of
-  different components. Every link between different components is found; pairs that are connected already aren't compared.
+* **Islands.** Most documents are at distance 1 from each other, where no pivot tells them apart. So all shingles are
+  ordered by how many documents hold them, rarest first (counts by hashed buckets over the whole corpus; the order only
+  has to be the same for all). Documents within 0.2 share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, and
+  what follows the first common one in either is enough for the overlap. Each such shingle is a cell; one pass over a
+  cell's documents by size finds a forest of those that meet this bound, and the components of all forests together are
+  islands, with no link between two of them.
+* **Voronoi regions.** An island too large for one task gets pivots. Each document is assigned to the region of its
+  nearest pivot and, by the triangle inequality, replicated to every region whose pivot is at most 2 * 0.2 farther.
+  Documents within 0.2 of a pivot link to it. Regions whose documents have become one component are settled; the
+  others are regions of the next round. Where windows reach nearly everything, as within a family whose members are all
+  about 0.3 apart, the region is joined by pairs of blocks instead.
+* **Join.** A region or pair of blocks that fits a task is joined there exactly: by sizes, by windows on the distances to
+  a few pivots, then by the sets themselves. Pairs that are connected already aren't compared, and a task gives a forest
+  of the links it finds, so no list of pairs arises.
 
 Lower-cases A-Z only; words are runs of anything but ``\\x20`` and ``\\x09`` to ``\\x0D``. With fewer than five words the
 whole sequence is the one shingle. Null and empty texts have no shingles and link with nothing. Each input row gives
 one row; rows of the same doc_id are copies or different documents by their texts. A null doc_id stays null and is a
 component's id only if all of its documents have none. Other columns are ignored. What is sent to the driver is bounded:
-one byte for each bucket (2**26 at most), a bit for each slot of documents (2**28 at most), and counts.
+one byte for each of 2**20 buckets, and counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, shared_dir, sliced, written
 
 WORDS = 5
-BLOCK = 4096
-SIGNED = "doc_id long, n long, sig long, block int, counts binary"
+#: Buckets by which shingles are counted: 2**BITS, in blocks of BLOCK. A task sends four bytes for each.
+BITS, BLOCK = 20, 4096
+SIGNED = "doc_id long, key long, n long, sig long, block int, counts binary"
+#: Half of a window; distances are quotients of whole numbers, and the last part only keeps rounding from closing one.
+REACH = 0.2 + 1e-9
+#: Cells of buckets with so many documents (eight times the logarithm) are not gathered: all they hold is one island.
+HOT = 8 * 20
+#: Most rows of a broadcast side, three long numbers each. Beyond that the same join is a shuffled one.
+FEW = 500_000
 
 
 def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
@@ -57,50 +66,32 @@ def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in buckets by their low bits, some two buckets a shingle. Two sets differ in
-    at least as many shingles as their sketches in bits, and the halves of a sketch added up are the next smaller one."""
-    size = max(64, 1 << (2 * len(found) - 1).bit_length())
-    return np.packbits(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
-
-
-def apart(a: bytes, b: bytes) -> int:
-    """A number of shingles that two sets differ in at least, from their sketches."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def name_of(found: np.ndarray) -> int:
     import xxhash
 
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def _sign(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "sig", "block", "counts"]
-        for batch in sliced(batches):
-            size, sig, slots = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text)
-                size.append(len(found))
-                sig.append(name_of(found) if len(found) else None)
-                slots.append(found >> np.uint64(64 - bits))
-            if slots:
-                counts += np.bincount(np.concatenate(slots).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
-        blocks = [(b, counts[b * BLOCK : (b + 1) * BLOCK]) for b in range(max(1, len(counts) // BLOCK))]
-        blocks = [(b, c.tobytes()) for b, c in blocks if c.any()]
-        if blocks:
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names)
+def bucket(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - BITS)).astype(np.int64)
 
-    return run
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and name of each document's set; at the end, in rows of their own, how many documents fill each bucket."""
+    counts = np.zeros(1 << BITS, np.uint32)
+    names = ["doc_id", "key", "n", "sig", "block", "counts"]
+    for batch in sliced(batches):
+        size, sig = [], []
+        for text in batch.column(2).to_pylist():
+            found = shingles(text)
+            size.append(len(found))
+            sig.append(name_of(found) if len(found) else None)
+            np.add.at(counts, bucket(found), 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
+    blocks = [(b, c.tobytes()) for b, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
+    if blocks:
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,181 +106,332 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
 
 
-def _prefixes(bits: int, ranks):
+def _cells(ranks, hot: int):
+    """A row per document and cell: the cell, the document, its size and the place of the shingle in its order. Of a hot
+    cell the two are exchanged and the place is -1: an edge already, dealt out by its document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = ranks.value, set()
-        for batch in sliced(batches):
-            cells, sigs, places = [], [], []
+        order = np.frombuffer(ranks.value, np.uint8)
+        last = None
+        for batch in sliced(batches, 256):
+            cells, points, places = [], [], []
             for text in batch.column(0).to_pylist():
-                found = shingles(text)
+                if text == last:
+                    continue
+                last, found = text, shingles(text)
                 n = len(found)
                 if not n:
                     continue
-                sig = name_of(found)
-                if sig in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(sig)
-                first = np.argsort(order[(found >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[: n - (4 * n + 4) // 5 + 1]
-                cells.append(found[first].view(np.int64))
-                sigs.append(np.full(len(first), sig, np.int64))
-                places.append((n << 32) + np.arange(len(first), dtype=np.int64))
+                rank = order[bucket(found)]
+                first = np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]
+                cell, common = found[first].view(np.int64), rank[first] >= hot
+                point = np.full(len(first), name_of(found), np.int64)
+                cells.append(np.where(common, point, cell))
+                points.append(np.where(common, cell, point))
+                places.append(np.where(common, -1, (n << 32) + np.arange(len(first), dtype=np.int64)))
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, sigs, places)], ["cell", "v", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, points, places)], ["cell", "v", "at"])
 
     return run
 
 
-def _sets(bits: int, wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = wanted.value
-        for batch in sliced(batches):
-            sigs, sketches, sets = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc is None or slots[doc & ((1 << bits) - 1)]:
-                    found = shingles(text)
-                    if len(found):
-                        sigs.append(name_of(found))
-                        sketches.append(sketch(found))
-                        sets.append(found.tobytes())
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())], ["sig", "sketch", "shingles"])
-
-    return run
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least distances from the sketches."""
-    for batch in sliced(batches):
-        differ = np.array([apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], float)
-        both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(2 * differ / (both + differ))], ["v", "p", "nv", "np", "lo"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        common, last, right = [], None, None
-        for p, a, b in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            if p != last:
-                last, right = p, np.frombuffer(b, np.uint64)
-            left = np.frombuffer(a, np.uint64)
-            at = np.searchsorted(right, left)
-            at[at == len(right)] = 0
-            common.append(int((right[at] == left).sum()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64())], ["v", "p", "nv", "np", "common"])
-
-
-def slots_of(ids: DataFrame, bits: int) -> np.ndarray:
-    """Which of 2**bits slots (the low bits) the long column ``id`` fills; built and combined as bitmaps in Spark."""
-    out = np.zeros(1 << bits, bool)
-    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1))
-    marks = ids.select(slot.alias("slot")).select((F.col("slot") / 32768).cast("long").alias("bucket"), (F.col("slot") % 32768).alias("bit"))
-    for row in marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[row["bucket"] * 32768 : (row["bucket"] + 1) * 32768] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+def forest(cell: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, cell by cell, the documents that may be within 0.2; rows are sorted by cell and size.
+
+    A document of n shingles with the cell's at place i overlaps another by at most ``n - i``, so the other has at most
+    ``top = (5 n - 9 i) / 4`` shingles. Two fit if each one's size is at most the other's top. The smaller of a pair that
+    fits has a top of at least its own size: such documents are intervals from size to top, which fit where they
+    overlap, and a running maximum of tops connects them. Any other document fits only intervals that reach from its
+    top to its size; all of those overlap, so one edge does.
+    """
+    n, i = at >> 32, at & 0xFFFFFFFF
+    top = np.maximum(0, (5 * n - 9 * i) // 4)
+    group = np.cumsum(np.r_[False, cell[1:] != cell[:-1]]).astype(np.int64) << 32  # tops stay below those of later cells
+    low, high = group + n, group + top
+    own = np.flatnonzero(top >= n)
+    if not len(own):
+        return v[:0], v[:0]
+    most = np.maximum.accumulate(high[own])
+    by = np.maximum.accumulate(np.where(high[own] == most, np.arange(len(own)), 0))
+    k = np.flatnonzero(most[:-1] >= low[own[1:]])
+    other = np.flatnonzero(top < n)
+    place = np.searchsorted(low[own], high[other], "right") - 1
+    fits = (place >= 0) & (most[place] >= low[other])
+    a = np.concatenate([v[own[k + 1]], v[other[fits]]])
+    b = np.concatenate([v[own[by[k]]], v[own[by[place[fits]]]]])
+    return a[a != b], b[a != b]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forests of a partition that is sorted by cell, size and place."""
+    held = [np.empty(0, np.int64)] * 3
+    out = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    for batch in batches:
+        rows = [batch.column(k).to_numpy() for k in range(3)]
+        edge = rows[2] < 0
+        if edge.any():
+            yield out(rows[0][edge], rows[1][edge])
+            rows = [x[~edge] for x in rows]
+        held = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+        if len(held[0]):
+            whole = int(np.searchsorted(held[0] == held[0][-1], True))
+            if whole:
+                yield out(*forest(*(x[:whole] for x in held)))
+                held = [x[whole:].copy() for x in held]
+    if len(held[0]):
+        yield out(*forest(*held))
+
+
+class Sets:
+    """Documents of one region in the order of their sizes, their shingles numbered within the region."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = np.array([len(s) for s in sets])
+        self.ends = np.cumsum(self.n)
+        self.starts = self.ends - self.n
+        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        self.held = np.zeros(int(self.codes.max()) + 1, bool)
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles of ``one`` each of ``others`` holds."""
+        own = self.codes[self.starts[one] : self.ends[one]]
+        self.held[own] = True
+        if others[-1] - others[0] + 1 == len(others):
+            codes = self.codes[self.starts[others[0]] : self.ends[others[-1]]]
+        else:
+            codes = np.concatenate([self.codes[self.starts[k] : self.ends[k]] for k in others.tolist()])
+        found = np.add.reduceat(self.held[codes], np.cumsum(self.n[others]) - self.n[others], dtype=np.int64)
+        self.held[own] = False
+        return found
+
+
+def distance(common, a, b):
+    return 1 - common / (a + b - common)
+
+
+def links_in(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, pivots: int = 4) -> list[tuple[int, int]]:
+    """A forest of the links among documents sorted by size, beside what ``label`` connects already. Of each pair one at
+    least must be at ``home``."""
+    found, m = Sets(sets), len(sets)
+    label, out = label.copy(), []
+
+    def unite(one: int, others: np.ndarray) -> None:
+        for k in others.tolist():
+            if label[k] != label[one]:
+                out.append((one, k))
+                label[label == label[k]] = label[one]
+
+    far = []
+    for one in np.linspace(0, m - 1, pivots).astype(int).tolist() if m > 16 * pivots else []:
+        everything = np.arange(m)
+        common = found.common(one, everything)
+        far.append(distance(common, found.n[one], found.n))
+        unite(one, everything[5 * common >= 4 * (found.n[one] + found.n - common)])
+    last = np.searchsorted(4 * found.n, 5 * found.n, "right")
+    for one in range(m - 1):
+        others = np.arange(one + 1, last[one])
+        others = others[(label[others] != label[one]) & (home[others] | home[one])]
+        for d in far:
+            others = others[np.abs(d[others] - d[one]) <= REACH]
+        if len(others):
+            common = found.common(one, others)
+            unite(one, others[5 * common >= 4 * (found.n[one] + found.n[others] - common)])
     return out
 
 
-LINKED = "5 * common >= 4 * (nv + np - common)"
-#: Most pairs whose ids, eight bytes each, are broadcast.
-FEW = 500_000
-PAIRS = "v long, p long, nv int, np int"
-#: What follows a common shingle in both bounds the overlap of two documents whose first common one it is; in any other
-#: cell than that of their first a pair may be left out.
-FITS = "9 * least({0} - {1}, {2} - {3}) >= 4 * ({0} + {2})"
-#: Distances are quotients of whole numbers; this only keeps rounding from closing a window.
-SLACK = 0.2 + 1e-9
-
-
-def link(docs: DataFrame) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], key: list[int]) -> Iterator[list[list]]:
+    """Columns, as lists, of the rows of one key after the other; the partition is sorted by it."""
+    held: list[list] | None = None
+    for batch in sliced(batches, 256):
+        rows = [c.to_pylist() for c in batch.columns]
+        at = 0
+        while at < len(batch):
+            here = [rows[k][at] for k in key]
+            end = at + 1
+            while end < len(batch) and all(rows[k][end] == x for k, x in zip(key, here, strict=True)):
+                end += 1
+            part = [c[at:end] for c in rows]
+            if held is not None and [held[k][0] for k in key] == here:
+                for a, b in zip(held, part, strict=True):
+                    a += b
+            else:
+                if held is not None:
+                    yield held
+                held = part
+            at = end
+    if held is not None:
+        yield held
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each region or pair of blocks: region, pair, v, component, home, text."""
+    for _, _, v, component, home, text in _groups(batches, [0, 1]):
+        once = list({x: k for k, x in enumerate(v)}.values())
+        sets = [shingles(text[k]) for k in once]
+        by_size = sorted(range(len(once)), key=lambda k: len(sets[k]))
+        once, sets = [once[k] for k in by_size], [sets[k] for k in by_size]
+        label = np.unique([component[k] for k in once], return_inverse=True)[1]
+        if len(once) > 1 and label.any():
+            found = links_in(sets, label, np.array([home[k] for k in once]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([v[once[a]] for a, _ in found], pa.int64()), pa.array([v[once[b]] for _, b in found], pa.int64())], ["u", "v"])
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The regions of each document: region, salt, pivot (first, as whole texts), v, text."""
+    names = ["parent", "region", "v", "home", "linked"]
+    key, pivots, parity = None, [], []
+    for batch in sliced(batches, 256):
+        out = [[], [], [], [], []]
+        for region, salt, other, v, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (region, salt) != key:
+                key, pivots, parity = (region, salt), [], []
+            own = shingles(text)
+            if not other:
+                if v not in parity:
+                    pivots.append(own)
+                    parity.append(v)
+                continue
+            common = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in pivots])
+            far = distance(common, len(own), np.array([len(p) for p in pivots]))
+            nearest = int(far.argmin())
+            for k in np.flatnonzero(far <= far[nearest] + 2 * REACH).tolist():
+                both = len(own) + len(pivots[k])
+                for column, x in zip(out, (region, parity[k], v, k == nearest, bool(5 * common[k] >= 4 * (both - common[k]))), strict=True):
+                    column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+
+class _Space:
+    """The points of a corpus and the tables that join them."""
+
+    def __init__(self, docs: DataFrame, most: int, size: int, pivots: int, hot: int) -> None:
+        self.spark, self.most, self.size, self.pivots, self.hot = docs.sparkSession, most, size, pivots, hot
+        self.base = shared_dir(self.spark, "jaccard")
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.docs = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) key", "cast(cast(text as string) as binary) text")
+        self.signed = written(self.docs.mapInArrow(_sign, SIGNED), f"{self.base}/signed")
+        # Of equal sets the row with the smallest id stands for all; its text is found again by id and hash.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("first")
+        self.points = written(self.signed.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.max("n").alias("n"), first).selectExpr("v", "n", "first.doc_id rep", "first.key key"), f"{self.base}/points")
+
+    def _ranks(self) -> bytes:
+        ranks = np.zeros(1 << BITS, np.uint8)
+        blocks = self.signed.where("block is not null").select("block", "counts").repartition(self.parts, "block")
+        for row in blocks.mapInArrow(_summed, "block int, ranks binary").toLocalIterator():
+            ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint8)
+        return ranks.tobytes()
+
+    def islands(self) -> DataFrame:
+        """region, v, n of the documents that share an island with others."""
+        ranks = self.spark.sparkContext.broadcast(self._ranks())
+        cells = self.docs.select("text").mapInArrow(_cells(ranks, self.hot), "cell long, v long, at long")
+        edges = cells.repartition(self.parts, "cell").sortWithinPartitions("cell", "at", "v").mapInArrow(_edges, "u long, v long")
+        of = components(written(edges.distinct(), f"{self.base}/edges"), "jaccard-islands")
+        return written(of.select(F.col("component").alias("region"), F.col("id").alias("v")).join(self.points.select("v", "n"), "v").select("region", "v", "n"), f"{self.base}/islands")
+
+    def with_text(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the text of their point ``v``."""
+        side = rows.join(self.points.select("v", "rep", "key"), "v").withColumnRenamed("key", "_key")
+        if rows.count() <= FEW:
+            side = F.broadcast(side)
+        docs = self.docs
+        return docs.join(side, (docs["key"] == side["_key"]) & docs["doc_id"].eqNullSafe(side["rep"])).select(*rows.columns, "text")
+
+    def sizes(self, rows: DataFrame) -> DataFrame:
+        """Blocks that each region takes, and the number of its documents."""
+        found = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("v").alias("least"))
+        return found.where("m > 1").selectExpr("region", "m", "least", f"cast(greatest(ceil(m / {self.most}), ceil(total / {self.size})) as int) blocks")
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Links within regions: each pair of a region's blocks meets in one task."""
+        own = F.expr("cast(pmod(xxhash64(v, 7), blocks) as int)")
+        # One task for a region of one block; else one for each pair of them, a document going to those of its own block.
+        pair = F.expr("transform(sequence(0, blocks - 1), x -> least(x, own) * blocks + greatest(x, own))")
+        dealt = rows.withColumn("own", own).withColumn("pair", F.explode(pair)).select("region", "pair", "v", "component", "home")
+        dealt = self.with_text(dealt).repartition(self.parts, "region", "pair").sortWithinPartitions("region", "pair")
+        return dealt.select("region", "pair", "v", "component", "home", "text").mapInArrow(_joined, "u long, v long")
+
+    def voronoi(self, rows: DataFrame, level: int) -> DataFrame:
+        """parent, region, v, home, linked: the regions of new pivots that each document of a large region belongs to."""
+        chosen = F.expr(f"v = least or pmod(xxhash64(v, {level}), m) < {self.pivots}")
+        salts = F.expr(f"cast(ceil(m / {4 * self.most}) as int)")
+        dealt = rows.withColumn("salts", salts).withColumn("own", F.expr("cast(pmod(xxhash64(v, 11), salts) as int)"))
+        members = dealt.select("region", F.col("own").alias("salt"), F.lit(True).alias("other"), "v")
+        pivots = dealt.where(chosen).select("region", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(False).alias("other"), "v")
+        both = self.with_text(members.unionByName(pivots)).repartition(self.parts, "region", "salt").sortWithinPartitions("region", "salt", "other", "v")
+        return both.select("region", "salt", "other", "v", "text").mapInArrow(_assigned, "parent long, region long, v long, home boolean, linked boolean")
+
+    def links(self) -> DataFrame:
+        """A forest of links, as u and v."""
+        rows = self.islands().withColumn("home", F.lit(True))
+        known, links, level = None, [], 0
+        while True:
+            level += 1
+            component = F.col("v")
+            if known is not None:
+                rows, component = rows.join(known.withColumnRenamed("id", "v"), "v", "left"), F.coalesce("component", "v")
+            rows = rows.select("region", "v", "n", "home", component.alias("component"))
+            sized = written(rows.join(self.sizes(rows), "region"), f"{self.base}/sized{level}")
+            if known is not None:  # regions of one component are settled
+                mixed = sized.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
+                sized = sized.join(mixed, "region")
+            links.append(written(self.blocks(sized.where("blocks <= 3")), f"{self.base}/links{level}"))
+            large = sized.where("blocks > 3")
+            if large.isEmpty():
+                break
+            parts = written(self.voronoi(large, level), f"{self.base}/voronoi{level}")
+            near = parts.where("linked and v <> region").select(F.col("v").alias("u"), F.col("region").alias("v"))
+            links.append(near)
+            known = components(self._all(links), "jaccard-links")
+            # Where windows reach so far that regions don't shrink, blocks of the parent are joined.
+            spread = parts.groupBy("parent").agg((F.count("*") / F.count_if("home")).alias("spread"), F.countDistinct("region").alias("regions"))
+            split = spread.where("spread <= 4 and regions > 1").select(F.col("parent").alias("region"))
+            dense = large.join(split, "region", "left_anti").drop("component").join(known.withColumnRenamed("id", "v"), "v", "left")
+            dense = dense.withColumn("component", F.coalesce("component", "v"))
+            mixed = dense.groupBy("region").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("region")
+            links.append(written(self.blocks(dense.join(mixed, "region")), f"{self.base}/dense{level}"))
+            rows = parts.join(split.withColumnRenamed("region", "parent"), "parent", "left_semi").select("region", "v", "home").join(self.points.select("v", "n"), "v")
+        return self._all(links)
+
+    @staticmethod
+    def _all(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def components(self) -> DataFrame:
+        """v, component (the smallest v), component_id (the smallest doc_id)."""
+        known = components(self.links(), "jaccard-components")
+        of = self.points.join(known.withColumnRenamed("id", "v"), "v", "left").select("v", "rep", F.coalesce("component", "v").alias("component"))
+        return of.join(of.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("v", "component", "component_id")
+
+
+def space(docs: DataFrame, most: int = 1024, size: int = 2_000_000, pivots: int = 16, hot: int = HOT) -> _Space:
+    """``most`` documents and ``size`` shingles are joined in one task; a larger region takes blocks or ``pivots``."""
+    return _Space(docs, most, size, pivots, hot)
+
+
+def link(docs: DataFrame, **sizes: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    spark = docs.sparkSession
-    base = shared_dir(spark, "jaccard")
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(cast(text as string) as binary) text")
-    bits = min(26, max(12, math.ceil(math.log2(docs.count() + 1)) + 2))
-
-    # The points of the space and the counts that order shingles.
-    signed = written(docs.mapInArrow(_sign(bits), SIGNED), f"{base}/signed")
-    points = signed.where("sig is not null")
-    reps = written(points.groupBy("sig").agg(F.min("doc_id").alias("rep")), f"{base}/reps")
-    ranks = np.zeros(1 << bits, np.uint8)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for row in signed.where("block is not null").select("block", "counts").repartition(parts, "block").mapInArrow(_summed, "block int, ranks binary").toLocalIterator():
-        ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint8)
-    ranks = spark.sparkContext.broadcast(ranks)
-
-    # Cells, their pivots, and the documents in each pivot's region.
-    in_cell = Window.partitionBy("cell").orderBy("v")
-    star = docs.select("text").mapInArrow(_prefixes(bits, ranks), "cell long, v long, at long")
-    star = star.select("*", F.first("v").over(in_cell).alias("p"), F.first("at").over(in_cell).alias("p_at"), F.lag("v").over(in_cell).alias("before")).where("v <> p and v <> before")
-    size, place = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
-    star = written(star.selectExpr("cell", "v", f"{size.format('at')} n", f"{place.format('at')} i", "p", f"{size.format('p_at')} np", f"{place.format('p_at')} pi"), f"{base}/star")
-
-    # The sets of the documents in any cell with another one.
-    needed = star.select(F.col("v").alias("sig")).union(star.select("p")).distinct().join(reps, "sig").select("rep").where("rep is not null")
-    most = docs.agg(F.max(F.abs("doc_id"))).first()[0] or 1
-    slot_bits = min(28, max(15, math.ceil(math.log2(most + 1))))
-    slots = spark.sparkContext.broadcast(slots_of(needed.select(F.col("rep").alias("id")), slot_bits))
-    sets = written(docs.mapInArrow(_sets(slot_bits, slots), "sig long, sketch binary, shingles binary"), f"{base}/sets")
-
-    def joined(pairs: DataFrame, what: str) -> DataFrame:
-        """Pairs with ``what`` of both sides as a and b. While the pairs' ids are few enough to broadcast, only what they
-        ask for is shuffled."""
-        few = pairs.count() <= FEW
-        for side, name in (("v", "a"), ("p", "b")):
-            held = sets.select("sig", what)
-            if few:
-                held = held.join(F.broadcast(pairs.select(F.col(side).alias("sig")).distinct()), "sig", "left_semi")
-            pairs = pairs.join(held.withColumnsRenamed({"sig": side, what: name}), side)
-        return pairs.select("v", "p", "nv", "np", "a", "b")
-
-    def compared(pairs: DataFrame, to: str) -> DataFrame:
-        """Distinct pairs (v, p, nv, np) with their distance between lo and hi and whether they link. Sketches rule most
-        of those out that don't; the others' distances are exact."""
-        pairs = written(pairs, f"{base}/{to}-pairs")
-        pairs = written(joined(pairs, "sketch").mapInArrow(_sketched, f"{PAIRS}, lo double"), f"{base}/{to}-sketched")
-        likely = pairs.where(f"lo <= {SLACK}").select("v", "p", "nv", "np")
-        exact = written(joined(likely, "shingles").mapInArrow(_shared, f"{PAIRS}, common long"), f"{base}/{to}-exact")
-        exact = exact.selectExpr("v", "p", "1 - common / (nv + np - common) lo", "1 - common / (nv + np - common) hi", f"{LINKED} linked")
-        return exact.unionByName(pairs.where(f"lo > {SLACK}").selectExpr("v", "p", "lo", "1d hi", "false linked"))
-
-    near = compared(star.where(FITS.format("n", "i", "np", "pi")).selectExpr("v", "p", "n nv", "np").distinct(), "near0")
-    links = near.where("linked").select(F.col("v").alias("u"), F.col("p").alias("v"))
-    known = components(links, "jaccard-components")
-
-    # What regions leave open; the distance to the cell's pivot lies between lo and hi.
-    star = star.join(near, ["v", "p"], "left").withColumns({"linked": F.expr("coalesce(linked, false)"), "lo": F.expr("coalesce(lo, 1 - least(n, np) / greatest(n, np))"), "hi": F.expr("coalesce(hi, 1d)")})
-    border = star.where("not linked").groupBy("cell").agg(F.min("lo").alias("nearest"))
-    rows = star.join(border, "cell").where(f"not linked or lo >= nearest - {SLACK}").select("cell", "v", "n", "i", "lo", "hi").distinct()
-    rows = written(rows, f"{base}/open0")
-    pivots, level = 16, 0
-    while True:
-        level += 1
-        # Cells of one component are settled.
-        rows = rows.join(known.withColumnRenamed("id", "v"), "v", "left").select("cell", "v", "n", "i", "lo", "hi", F.coalesce("component", "v").alias("component"))
-        mixed = rows.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("cell")
-        rows = written(rows.join(mixed, "cell").withColumn("k", F.row_number().over(in_cell)), f"{base}/open{level}")
-        if rows.isEmpty():
-            break
-        first = rows.where(F.col("k") <= pivots).select("cell", *[F.col(c).alias(f"p_{c}") for c in ("v", "n", "i", "lo", "hi", "component", "k")])
-        window = f"lo - p_hi <= {SLACK} and p_lo - hi <= {SLACK}"
-        pairs = rows.join(first, "cell").where(f"k > p_k and component <> p_component and {FITS.format('n', 'i', 'p_n', 'p_i')} and {window}")
-        more = compared(pairs.selectExpr("v", "p_v p", "n nv", "p_n np").distinct(), f"near{level}").where("linked")
-        if not more.isEmpty():
-            # Components found so far are joined by what links them.
-            a, b = (known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of")) for c in "uv")
-            between = more.select(F.col("v").alias("u"), F.col("p").alias("v")).join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v"))
-            known = components(known.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(between), "jaccard-components")
-        rows = rows.where(F.col("k") > pivots).select("cell", "v", "n", "i", "lo", "hi")
-        pivots *= 16
-
-    # From points back to documents.
-    of = reps.join(known.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
-    of = of.join(of.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("sig", "component_id")
-    empty = signed.where("sig is null and block is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return points.join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    made = space(docs, **sizes)
+    of = made.components().select(F.col("v").alias("sig"), "component_id")
+    empty = made.signed.where("sig is null and block is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return made.signed.where("sig is not null").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, once each: one document of each group stays."""
-    kept = link(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each component stays: that with its smallest doc_id and, of several with this, the first by the name of
+    its set, then by its text. Rows without shingles are components of their own; of equal rows of one id one stays."""
+    made = space(docs)
+    of = made.components().withColumnRenamed("v", "sig")
+    rows = made.signed.where("block is null").join(of, "sig", "left").select("doc_id", "sig", "key", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+    rows = rows.where("doc_id <=> component_id").groupBy("doc_id", "component").agg(F.min(F.struct("sig", "key")).alias("first"))
+    kept = rows.select(F.col("doc_id").alias("_kept"), F.col("first.key").alias("_key")).distinct()
+    key = F.xxhash64(F.col("text").cast("string"))
+    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (key == kept["_key"]), "left_semi")
+    # Only ids that occur more than once can leave equal rows.
+    many = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many"))
+    return once.join(many, once["doc_id"].eqNullSafe(many["_many"]), "left_anti").unionByName(once.join(many, once["doc_id"].eqNullSafe(many["_many"]), "left_semi").dropDuplicates(["doc_id", "text"]))

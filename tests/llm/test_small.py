@@ -6,12 +6,14 @@ import hashlib
 import io
 import json
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -74,6 +76,35 @@ def test_leftmost_matches_and_checksums():
         assert ",".join(f"{k}:{a}:{b}" for a, b, k in secret_scan.find(t, words) if k in KINDS) == base_spans(t)
 
 
+def test_long_runs_and_deep_headers():
+    """Linear in the length; a header that only opens brackets is none."""
+    words = secret_scan.automaton()
+    began = time.perf_counter()
+    assert secret_scan.find("eyJ" * 350_000, words) == []
+    assert secret_scan.find("eyJ" * 200_000 + "." + "eyJ" * 200_000, words) == []
+    assert time.perf_counter() - began < 20
+    code = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    deep = code(b'{"' + b"a" * 5 + b'":' + b"[" * 100_000)
+    assert deep.startswith("eyJ") and secret_scan.find(f"{deep}.eyJhIjoxfQ.x", words) == []
+    whole = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    good = code(b'{"alg":"x"}') + ".eyJhIjoxfQ.xy"
+    for t in (good, f"{good}.{good}", f"eyJ.{good}", f"eyJeyJ {good}", f"a{good}{good}", f"EYJ{good}"):
+        want = [m.span() for m in whole.finditer(t) if secret_scan._jwt_ok(m[0].split(".")[0])]
+        assert [(a, b) for a, b, k in secret_scan.find(t, words) if k == "jwt"] == want
+
+
+def test_shared_folder_is_asked_for(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "other"
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session, "x")
+
+
 def test_redaction(docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == len(TEXTS)
@@ -134,18 +165,39 @@ def test_jaccard_join(spark, docs):
     assert jaccard.link(empty(docs)).count() == 0
 
 
-def test_sketches_bound_the_difference():
-    rng = np.random.default_rng(3)
-    for n, m in ((5, 5), (200, 230), (3000, 2500)):
-        a, b = (np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, m))
-        b = np.unique(np.concatenate([a[: n // 2], b]))
-        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+@pytest.mark.parametrize("sizes", [{"most": 6, "pivots": 2}, {"most": 4, "size": 300, "pivots": 3, "hot": 0}, {"hot": 20}])
+def test_jaccard_join_by_regions(spark, sizes):
+    """Limits so small that islands split into regions and blocks."""
+    rows = near_copies(3, 10, 16) + [(7000 + k, "one passage of six words only " + " ".join(f"t{j + k % 3 * (j % 9 == 0)}" for j in range(60 + k))) for k in range(40)]
+    rows += [(1, None), (2, ""), (None, rows[0][1]), (3, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("*", "1 n", "2 v", "'x' region", "3L component_id")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(df, **sizes).collect())
+    assert got == brute_links(rows)
+
+
+def test_forest_connects_what_fits():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        m = int(rng.integers(1, 30))
+        cell, n = np.sort(rng.integers(0, 4, m)), rng.integers(5, 60, m)
+        i = (rng.random(m) * (n - (4 * n + 4) // 5 + 1)).astype(np.int64)
+        order = np.lexsort((i, n, cell))
+        cell, n, i, v = cell[order], n[order].astype(np.int64), i[order], np.arange(m, dtype=np.int64)
+        label = np.arange(m)
+        for a, b in zip(*jaccard.forest(cell, v, (n << 32) + i), strict=True):
+            label[label == label[a]] = label[b]
+        want = np.arange(m)
+        for a in range(m):
+            for b in range(a):
+                if cell[a] == cell[b] and 9 * min(n[a] - i[a], n[b] - i[b]) >= 4 * (n[a] + n[b]):
+                    want[want == want[a]] = want[b]
+        assert [(label == x).tolist() for x in label] == [(want == x).tolist() for x in want]
 
 
 def test_one_of_each_group_stays(spark):
-    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, ""), (4, None), (9, "other words than those before it")]
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "A b c d e f"), (2, ""), (4, None), (9, "other words than those before it"), (9, "and an id of two texts"), (None, "no id at all")]
     kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 9]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "9", "9", "None"]
 
 
 def test_components(spark):
@@ -254,11 +306,45 @@ def test_id_store(spark, docs, library):
     spark.read.parquet(f"{store}/objects").selectExpr("key", "doc_id", "n", "reverse(payload) payload", "kind").write.partitionBy("kind").parquet(f"{damaged}/objects")
     with pytest.raises(Exception, match="damaged"):
         id_store.summaries(spark, damaged).collect()
+    recipes = spark.read.parquet(f"{store}/recipes").cache()
+    some = [r.doc_id for r in recipes.where("doc_id is not null").orderBy("doc_id").limit(3).collect()]
+    swapped = recipes.withColumn("doc_id", F.when(F.col("doc_id") == some[0], some[1]).when(F.col("doc_id") == some[1], some[0]).otherwise(F.col("doc_id")))
+    for k, changed in enumerate((recipes.where(f"doc_id is null or doc_id <> {some[2]}"), swapped, recipes.unionByName(recipes.where(f"doc_id = {some[0]}")))):
+        other = common.shared_dir(spark, f"test-changed{k}")
+        changed.write.parquet(f"{other}/recipes")
+        for part in ("manifest", "objects"):
+            spark.read.parquet(f"{store}/{part}").write.parquet(f"{other}/{part}")
+        with pytest.raises(Exception, match="manifest|gap or a repeat"):
+            id_store.summaries(spark, other).collect()
     none = common.shared_dir(spark, "test-none")
     id_store.write(empty(docs), none, WORDS)
     assert id_store.summaries(spark, none).count() == 0
 
 
+def test_growing_merkle_tree():
+    for n in range(20):
+        leaves, tree = [bytes([k]) for k in range(n)], id_store.Merkle()
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == id_store.merkle(leaves)
+
+
+def test_tables_of_ended_tasks_are_freed():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        made = word_ids.WordEncoder(WORDS)
+        made.encode(["some words here", "x" * 500])
+        assert all(len(x) <= word_ids.LONGEST for x in made.units)
+        units = weakref.ref(made.units)
+        del made
+        assert units() is None
+    finally:
+        gc.enable()
+
+
 def test_equal_passages_give_equal_chunks():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 50_000, 5000).astype("<u2")
@@ -350,6 +436,12 @@ def test_token_counts(docs):
         t = "".join(rng.choice(["word", " ", "  ", "\n", "x" * 50, " a", "é", "🙂", "<|endoftext|>", " it's"], 80))
         for chunk, overlap in ((20, 3), (64, 8), (100, 30)):
             assert token_counts.count_long(t, encode, chunk, overlap) == len(encode(t))
+    # Texts without spaces: hardly more is encoded than there is.
+    for t in ("数字。" * 20_000, "数" * 4_000 + "x1" * 4_000 + "\n" * 3_000, "ab1, " * 9_000, "<|endoftext|>" * 2_000):
+        seen = []
+        spy = lambda s: seen.append(len(s)) or encode(s)  # noqa: B023, E731
+        assert token_counts.count_long(t, spy, 4_000, 64) == len(encode(t))
+        assert sum(seen) <= 2 * len(t)
     assert token_counts.counts(empty(docs), path).count() == 0
 
 
