@@ -38,15 +38,20 @@ def calibration_mad(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     return calibration(df, p, y, bins).agg(F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("mad"))
 
 
-def auc(df: DataFrame, score: str, y: str) -> DataFrame:
+def auc(df: DataFrame, score: str, y: str, ranges: int = 256) -> DataFrame:
     """One row: the chance that an event scores higher than another row, ties counting half.
 
-    Counts per score come first, so the ordered pass runs over distinct scores; a range-partitioned prefix sum would take
-    its place for scores without repeats.
+    Counts per score come first; distinct scores are then cut into ``ranges`` by approximate quantiles, each range adds up
+    its own, and what lies in lower ranges is added from their totals, a row each.
     """
-    per = df.groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_n"), F.sum((F.col(y) == 1).cast("long")).alias("_p"))
-    before = Window.orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(before), F.lit(0)))
+    per = df.groupBy(F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("_n"), F.sum((F.col(y) == 1).cast("long")).alias("_p"))
+    cuts = sorted(set(per.agg(F.percentile_approx("_score", [k / ranges for k in range(1, ranges)])).first()[0] or []))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_score"))) if cuts else F.lit(0)
+    per = per.withColumn("_range", at)
+    below = F.sum(F.col("_n") - F.col("_p"))
+    lower = per.groupBy("_range").agg(below.alias("_own")).withColumn("_lower", F.coalesce(F.sum("_own").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_own")
+    within = Window.partitionBy("_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(below.over(within), F.lit(0))).join(F.broadcast(lower), "_range").withColumn("_below", F.col("_below") + F.col("_lower"))
     pairs = F.sum(F.col("_p") * F.col("_below") + 0.5 * F.col("_p") * (F.col("_n") - F.col("_p")))
     return per.agg((pairs / (F.sum("_p") * F.sum(F.col("_n") - F.col("_p")))).alias("auc"))
 

@@ -48,7 +48,10 @@ def form_subscores(reps: DataFrame, key: str, rep: str, completed: str, channels
     if norm_ref is None:
         long = long.withColumns({"score": F.when(F.col("deviation").isNotNull(), fixed), "provisional": F.lit(True)})
     else:
-        long = long.join(F.broadcast(norm_ref.limit(len(SUBSCORES))), "name", "left")
+        # A row for each subscore at most, so a small side; a second row for one is an error.
+        once = lambda c: F.when(F.count("*") == 1, F.first(c)).otherwise(F.raise_error(F.lit("a subscore has more than one reference")).cast("double")).alias(c)
+        norm = norm_ref.where(F.col("name").isin([name for name, *_ in SUBSCORES])).groupBy("name").agg(once("ref_mean"), once("ref_std"))
+        long = long.join(F.broadcast(norm), "name", "left")
         z = (F.col("deviation") - F.coalesce("ref_mean", F.lit(0.0))) / F.col("ref_std")
         long = long.withColumns({"score": F.when(F.col("deviation").isNotNull(), F.when(F.col("ref_std") > 1e-12, squash(z, Z_NOTABLE)).otherwise(fixed)), "provisional": F.lit(False)})
     n_short = F.when(F.col("name") == "rom_completeness", F.col("_short"))

@@ -40,15 +40,16 @@ def lerp(df: DataFrame, key: str, at: str, known_at: str, columns: list[str]) ->
     """Linear interpolation, flat beyond the ends, where ``columns`` are null.
 
     ``known_at`` is ``at`` on rows that know the columns and null elsewhere: an as-of look-up in both directions by two
-    windows over the same exchange.
+    windows over the same exchange. The one ahead runs from the end, as a frame that shrinks would be added up anew for
+    every row; of rows at the same place those that know come first in either.
     """
-    back = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(at).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(key).orderBy(F.col(at), F.col(known_at).isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(known_at).isNull()).rowsBetween(Window.unboundedPreceding, 0)
     here = F.col(at)
-    df = df.withColumns({"_t0": F.last(known_at, ignorenulls=True).over(back), "_t1": F.first(known_at, ignorenulls=True).over(ahead)})
+    df = df.withColumns({"_t0": F.last(known_at, ignorenulls=True).over(back), "_t1": F.last(known_at, ignorenulls=True).over(ahead)})
     ends = {}
     for c in columns:
-        ends |= {f"_{c}0": F.last(c, ignorenulls=True).over(back), f"_{c}1": F.first(c, ignorenulls=True).over(ahead)}
+        ends |= {f"_{c}0": F.last(c, ignorenulls=True).over(back), f"_{c}1": F.last(c, ignorenulls=True).over(ahead)}
     df = df.withColumns(ends)
     t0, t1 = F.col("_t0"), F.col("_t1")
     for c in columns:

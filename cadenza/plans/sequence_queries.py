@@ -46,22 +46,11 @@ def seq_causal_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("user_id", "i", "slope_to_date", "change_to_date"))
 
 
-@query(f"WITH {EVENTS}, c AS (SELECT user_id, i, value FROM ev WHERE i < 12), src AS (SELECT (a.user_id, a.i) g, b.i o, b.value y FROM c a JOIN c b ON a.user_id = b.user_id AND b.i <= a.i), {STATS} SELECT g[1] AS user_id, g[2] AS up_to_rep, {SUMMARY} FROM s LEFT JOIN d USING (g) LEFT JOIN b USING (g)")
+@query(f"WITH {EVENTS}, c AS (SELECT user_id, i, value FROM ev), src AS (SELECT (a.user_id, a.i) g, b.i o, b.value y FROM c a JOIN c b ON a.user_id = b.user_id AND b.i <= a.i), {STATS} SELECT g[1] AS user_id, g[2] AS up_to_rep, {SUMMARY} FROM s LEFT JOIN d USING (g) LEFT JOIN b USING (g)")
 def seq_prefix_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To-date summaries of each sequence's first twelve values, as of a set's repetitions."""
-    df = events(spark, sf_dir).where("i < 12")
-    a = df.select("user_id", F.col("i").alias("up_to_rep"))
-    prefix = a.join(df, "user_id").where("i <= up_to_rep")
-    return rounded(trajectory.summarize(prefix, ["user_id", "up_to_rep"], ["i"], "value"))
-
-
-@query()
-def seq_prefix_summaries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To-date summaries of each sequence at every one of its values; the SQL above stops at the twelfth, so a test by brute
-    force stands in for it."""
-    df = events(spark, sf_dir)
-    prefix = df.select("user_id", F.col("i").alias("up_to_rep")).join(df.select("user_id", "i", "value"), "user_id").where("i <= up_to_rep")
-    return rounded(trajectory.summarize(prefix, ["user_id", "up_to_rep"], ["i"], "value"))
+    """To-date summaries of each sequence at every one of its values."""
+    df = events(spark, sf_dir).select("user_id", "i", "value")
+    return rounded(trajectory.to_date(df, ["user_id"], "i", "value").withColumnRenamed("up_to", "up_to_rep"))
 
 
 @query(f"WITH {EVENTS}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY i) AS dt FROM ev) SELECT user_id, event_id, {r('dt', 3)} AS dt, coalesce(dt > 86400, false) AS gap FROM g")

@@ -217,15 +217,9 @@ def auc_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.auc(_scored(spark, sf_dir), "p", "y"))
 
 
-@query(f"WITH {EVENTS}, v AS (SELECT user_id, i, value FROM ev WHERE i < 20) SELECT a.user_id, count(*) AS pairs, {r('avg(CASE WHEN abs(a.value - b.value) <= 1e-8 + 1e-5 * abs(b.value) THEN 0.5 WHEN a.value < b.value THEN 1 ELSE 0 END)')} AS concordance FROM v a JOIN v b ON a.user_id = b.user_id AND a.i < b.i GROUP BY 1")
-def completed_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = events(spark, sf_dir).where("i < 20").select("user_id", F.col("i").alias("truth"), "value")
-    return rounded(evaluate.concordance(df, "user_id", "truth", "value"))
-
-
 @query(f"WITH {EVENTS}, v AS (SELECT user_id, i, value FROM ev) SELECT a.user_id, count(*) AS pairs, {r('avg(CASE WHEN abs(a.value - b.value) <= 1e-8 + 1e-5 * abs(b.value) THEN 0.5 WHEN a.value < b.value THEN 1 ELSE 0 END)')} AS concordance FROM v a JOIN v b ON a.user_id = b.user_id AND a.i < b.i GROUP BY 1")
-def completed_concordance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all pairs of a user's events; the SQL above stops at the twentieth event."""
+def completed_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all pairs of a user's events."""
     df = events(spark, sf_dir).select("user_id", F.col("i").alias("truth"), "value")
     return rounded(evaluate.concordance(df, "user_id", "truth", "value"))
 
@@ -278,15 +272,9 @@ def metadata_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.orphans(orders, "k", table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))).select(F.col("k").alias("o_orderkey"))
 
 
-@query(f"WITH {LINES} SELECT set_id, rep_index, printf('%d:rep%03d', set_id, rep_index) AS rep_id FROM li WHERE set_id % 100 = 7 ORDER BY 1, 2")
-def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = lines(spark, sf_dir).where("set_id % 100 = 7")
-    return df.select("set_id", "rep_index", metadata.rep_id(F.col("set_id").cast("string"), F.col("rep_index")).alias("rep_id")).orderBy("set_id", "rep_index")
-
-
 @query(f"WITH {LINES} SELECT set_id, rep_index, printf('%d:rep%03d', set_id, rep_index) AS rep_id FROM li ORDER BY 1, 2")
-def metadata_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the repetitions of every set; the SQL above takes one set in a hundred."""
+def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the repetitions of every set."""
     df = lines(spark, sf_dir)
     return df.select("set_id", "rep_index", metadata.rep_id(F.col("set_id").cast("string"), F.col("rep_index")).alias("rep_id")).orderBy("set_id", "rep_index")
 

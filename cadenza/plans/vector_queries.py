@@ -33,16 +33,9 @@ def vector_template_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("label", F.col("pos").cast("long").alias("pos"), "v", "n"))
 
 
-@query(f"WITH e AS (SELECT vec_id, list_slice(embedding, 1, 40)::DOUBLE[] v, unnest(generate_series(0, 63)) k FROM embeddings), a AS (SELECT *, k * 39 / 63.0::DOUBLE p, least(floor(k * 39 / 63.0::DOUBLE), 38)::INT f FROM e) SELECT vec_id, CAST(k AS BIGINT) AS pos, {r('v[f + 1] + (v[f + 2] - v[f + 1]) * (p - f)')} AS v FROM a")
-def vector_resample64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _vectors(spark, sf_dir).select("vec_id", F.slice("v", 1, 40).alias("v"))
-    df = df.select("vec_id", F.posexplode(vectors.resampled(F.col("v"))).alias("pos", "v"))
-    return rounded(df.select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
-
-
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v, len(embedding) n, unnest(generate_series(0, 95)) k FROM embeddings), a AS (SELECT *, k * (n - 1) / 95.0::DOUBLE p, least(floor(k * (n - 1) / 95.0::DOUBLE), n - 2)::INT f FROM e) SELECT vec_id, CAST(k AS BIGINT) AS pos, {r('v[f + 1] + (v[f + 2] - v[f + 1]) * (p - f)')} AS v FROM a")
-def vector_resample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All components on 96 points; the SQL above drops those after the fortieth."""
+def vector_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components on 96 points."""
     df = _vectors(spark, sf_dir)
     df = df.select("vec_id", F.posexplode(vectors.resampled(F.col("v"), 96)).alias("pos", "v"))
     return rounded(df.select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
@@ -54,20 +47,8 @@ def vector_unit_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("vec_id", F.col("pos").cast("long").alias("pos"), "v"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT vec_id, list_slice(embedding, 1, 8)::DOUBLE[] a, list_slice(embedding, 9, 14)::DOUBLE[] b FROM embeddings),
-d AS (SELECT vec_id, a, b, 1 AS i, list_transform(generate_series(1, 6), lambda j: list_sum(list_transform(generate_series(1, j), lambda k: abs(a[1] - b[k])))) AS w FROM e
-UNION ALL SELECT vec_id, a, b, i + 1, list_transform(generate_series(1, 6), lambda j: list_min(list_transform(generate_series(1, j), lambda k: least(w[k], coalesce(w[k - 1], 'infinity'::DOUBLE)) + list_sum(list_transform(generate_series(k, j), lambda q: abs(a[i + 1] - b[q])))))) FROM d WHERE i < 8)
-SELECT vec_id, (round(w[6] / 14, 6) + 0.0) AS distance FROM d WHERE i = 8"""
-)
-def vector_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warping distance of the first eight components to the next six (the SQL twin writes the recurrence out)."""
-    df = _vectors(spark, sf_dir)
-    return rounded(df.select("vec_id", vectors.dtw_distance(F.slice("v", 1, 8), F.slice("v", 9, 6)).alias("distance")))
-
-
 @query()
-def vector_dtw_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warping distance of the first half of each vector to its second half, without SQL."""
     half = F.floor(F.size("v") / 2).cast("int")
     df = _vectors(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force, where SQL holds only a part of the rows."""
+"""Queries over whole tables against brute force."""
 
 import numpy as np
 
@@ -12,7 +12,7 @@ def sse(x, y):
 
 def test_prefix_summaries_of_all_events(spark, sf_dir):
     sequences = events(spark, sf_dir).toPandas().sort_values("i").groupby("user_id")["value"]
-    got = registry.QUERIES["seq_prefix_summaries_whole"](spark, sf_dir).toPandas().set_index(["user_id", "up_to_rep"])
+    got = registry.QUERIES["seq_prefix_summaries"](spark, sf_dir).toPandas().set_index(["user_id", "up_to_rep"])
     assert got.index.is_unique and len(got) == sequences.size().sum() and sequences.size().max() > 12
     for user, y in list(sequences)[:3]:
         for last in range(len(y)):
@@ -31,7 +31,7 @@ def test_prefix_summaries_of_all_events(spark, sf_dir):
 
 
 def test_concordance_of_all_pairs(spark, sf_dir):
-    got = registry.QUERIES["completed_concordance_whole"](spark, sf_dir).toPandas().set_index("user_id")
+    got = registry.QUERIES["completed_concordance"](spark, sf_dir).toPandas().set_index("user_id")
     sequences = events(spark, sf_dir).toPandas().sort_values("i").groupby("user_id")["value"]
     assert sequences.size().max() > 20 and set(got.index) == set(sequences.groups)
     for user, y in sequences:
@@ -42,7 +42,7 @@ def test_concordance_of_all_pairs(spark, sf_dir):
 
 
 def test_lookup_of_every_line(spark, sf_dir):
-    got = registry.QUERIES["metadata_lookup_whole"](spark, sf_dir).toPandas()
+    got = registry.QUERIES["metadata_lookup"](spark, sf_dir).toPandas()
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().orderBy("l_orderkey").collect()
     want = [(r[0], k, f"{r[0]}:rep{k:03d}") for r in per for k in range(1, r[1] + 1)]
     assert list(got.itertuples(index=False, name=None)) == want
@@ -59,8 +59,8 @@ def warping(a, b):
 
 def test_whole_vectors(spark, sf_dir):
     vectors = {r[0]: np.array(r[1], float) for r in table(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()}
-    far = registry.QUERIES["vector_dtw_whole"](spark, sf_dir).toPandas().set_index("vec_id")["distance"]
-    curves = registry.QUERIES["vector_resample_whole"](spark, sf_dir).toPandas().sort_values("pos").groupby("vec_id")["v"]
+    far = registry.QUERIES["vector_dtw"](spark, sf_dir).toPandas().set_index("vec_id")["distance"]
+    curves = registry.QUERIES["vector_resample"](spark, sf_dir).toPandas().sort_values("pos").groupby("vec_id")["v"]
     assert set(far.index) == set(vectors) == set(curves.groups)
     for key in sorted(vectors)[:40]:
         v = vectors[key]
@@ -70,6 +70,14 @@ def test_whole_vectors(spark, sf_dir):
         assert abs(curve[-1] - v[-1]) < 2e-6
 
 
+def test_plans_stay_linear(spark, sf_dir):
+    """No frame that runs to the end of its key, and no row for each pair of a cut and a value."""
+    for name in ("seq_uniform_resample", "seq_points_in_gaps", "seq_zupt_velocity", "seq_retro_trajectory", "form_pointers", "narrative_execution"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "UnboundedFollowing" not in plan.replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "").replace("currentrow$(), unboundedfollowing", "UnboundedFollowing"), name
+        assert "sequence(2" not in plan, name
+
+
 def test_every_gate_of_every_layer(spark):
     got = imu_queries.full_metrics(spark, 8, 4, (5,)).toPandas()
     assert got.groupby("layer", sort=False).size().to_dict() == {"conditioning": 2, "segmentation": 2, "form": 1, "rir": 4, "rpe": 3, "divergence": 2}
