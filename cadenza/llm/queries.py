@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, hnsw, id_store, jaccard, packing, quality, secret_scan, token_counts, toxicity, warc_zip
 from .common import shared_dir, written
+from .oracles import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_quality_rules, op4_toxicity, op5_id_store, op6_byte_bpe, op7_hnsw, op8_warc_zip, op9_token_counts, op10_best_fit)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

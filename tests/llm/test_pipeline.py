@@ -1,7 +1,9 @@
 """The pipeline against its stages applied by plain code, and the registered queries on the smallest tables."""
 
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -62,5 +64,15 @@ def test_query_covers_its_table(spark, sf_dir, name):
     assert df.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    told = lambda df: Counter(tuple(None if x != x or x is None else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and told(got) == told(want)
+
+
 def test_names():
     assert [n for n in queries.QUERIES if not re.fullmatch(r"op\d+_\w+", n)] == [] and len(queries.QUERIES) == 10
