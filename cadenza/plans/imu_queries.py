@@ -22,7 +22,7 @@ def query(f):
     return f
 
 
-def corpus(spark: SparkSession, params: list[generator.SetParams]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def corpus(spark: SparkSession, params: list[generator.Recording]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parameters, sets, and repetitions with their distance to the baseline; cached, as every later table uses them."""
     table = generator.params_table(spark, params)
     sets = generator.sets_of(table).cache()
@@ -67,7 +67,7 @@ def imu_trends_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trajectory.causal(reps, "set_id", "rep_index"))
 
 
-def session_cards(spark: SparkSession, params: list[generator.SetParams], model: models.Linear | None = None) -> DataFrame:
+def session_cards(spark: SparkSession, params: list[generator.Recording], model: models.Linear | None = None) -> DataFrame:
     """One row per set: form, effort, agreement, total and both texts."""
     _, sets, reps = corpus(spark, params)
     retro = trajectory.retrospective(reps, "set_id", "rep_index")
@@ -174,17 +174,17 @@ def metrics(spark: SparkSession, users: int = 12, sets: int = 6, seed: int = 5)
 SEEDS = (5, 11, 23)
 GRADES = {
     "clean": {},
-    "mild": {"vel_decay": 0.35, "rom_collapse": 0.12, "tremor_growth": 2.5},
-    "moderate": {"vel_decay": 0.45, "rom_collapse": 0.20, "tremor_growth": 3.0, "ecc_shorten": 0.35, "path_wobble_m": 0.03},
-    "hard": {"vel_decay": 0.55, "rom_collapse": 0.28, "tremor_gain": 0.4, "tremor_growth": 3.5, "ecc_shorten": 0.4, "path_wobble_m": 0.04},
+    "mild": {"slowing": 0.35, "shortening": 0.12, "tremor_growth": 2.5},
+    "moderate": {"slowing": 0.45, "shortening": 0.20, "tremor_growth": 3.0, "hurry": 0.35, "sway_m": 0.03},
+    "hard": {"slowing": 0.55, "shortening": 0.28, "tremor": 0.4, "tremor_growth": 3.5, "hurry": 0.4, "sway_m": 0.04},
 }
-FORMS = {"clean": {"vel_decay": 0.08, "rom_collapse": 0.02, "tremor_growth": 1.1, "ecc_shorten": 0.05}, "degraded": {"vel_decay": 0.5, "rom_collapse": 0.25, "tremor_growth": 3.2, "ecc_shorten": 0.35}}
+FORMS = {"clean": {"slowing": 0.08, "shortening": 0.02, "tremor_growth": 1.1, "hurry": 0.05}, "degraded": {"slowing": 0.5, "shortening": 0.25, "tremor_growth": 3.2, "hurry": 0.35}}
 GATES = "layer string, name string, value double, threshold double, higher_is_better boolean, passed boolean"
 
 
 def _conditioning_gates(spark: SparkSession) -> list[tuple]:
     """Range within each true repetition's time, against its true range."""
-    table = generator.params_table(spark, [generator.SetParams(session_id=f"range{s}", capacity=10, stop_rir=2, reached_failure=False, seed=s) for s in (1, 2, 3)])
+    table = generator.params_table(spark, [generator.recording(session_id=f"range{s}", able=10, spare=2, fails=False, seed=s) for s in (1, 2, 3)])
     truth = generator.truth_of(table).where("completed").select(F.col("set_id"), "rep_index", "t_start", "t_end", "rom_true_m")
     both = imu.conditioned_samples(generator.samples_of(table), generator.sets_of(table)).join(truth, "set_id").where("t between t_start and t_end")
     error = both.groupBy("set_id", "rep_index").agg((F.abs(F.max("d_vert") - F.min("d_vert") - F.first("rom_true_m")) / F.first("rom_true_m")).alias("e"))
@@ -195,7 +195,7 @@ def _conditioning_gates(spark: SparkSession) -> list[tuple]:
 def _segmentation_gates(spark: SparkSession) -> list[tuple]:
     """Exact counts by grade: the mean of the three operating grades, and the degraded one apart."""
     params = [
-        generator.SetParams(user_id=grade, session_id=f"{grade}:{exercise}:{capacity}:{fails}:{seed}", exercise=exercise, rom_m=rom, capacity=capacity, stop_rir=0 if fails else 2, reached_failure=fails, seed=seed, **traits)
+        generator.recording(user_id=grade, session_id=f"{grade}:{exercise}:{capacity}:{fails}:{seed}", exercise=exercise, range_m=rom, able=capacity, spare=0 if fails else 2, fails=fails, seed=seed, **traits)
         for grade, traits in GRADES.items() for exercise, rom in (("bench_press", 0.45), ("back_squat", 0.55)) for capacity in (6, 10) for fails in (True, False) for seed in (1, 2, 3)
     ]
     table = generator.params_table(spark, params)
@@ -209,7 +209,7 @@ def _segmentation_gates(spark: SparkSession) -> list[tuple]:
 
 def _form_gates(spark: SparkSession) -> list[tuple]:
     """Every clean set must score above every degraded one; the value is the gap of the means."""
-    params = [generator.SetParams(user_id=f"{kind}{s}", session_id=f"{kind}{s}", capacity=10, load_kg=80.0, seed=s, **traits) for kind, traits in FORMS.items() for s in (1, 2, 3)]
+    params = [generator.recording(user_id=f"{kind}{s}", session_id=f"{kind}{s}", able=10, load_kg=80.0, seed=s, **traits) for kind, traits in FORMS.items() for s in (1, 2, 3)]
     _, _, reps = corpus(spark, params)
     subs, _ = imu.form(reps, trajectory.retrospective(reps, "set_id", "rep_index"))
     scores = {r["set_id"]: r["form_score"] for r in scoring.form_score(subs, "set_id").collect()}

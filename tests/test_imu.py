@@ -14,25 +14,38 @@ from cadenza.sources.contract import CHANNELS
 def run(p):
     samples, truth, row = G.one_set(p)
     c = signals.condition(samples["t_ns"].to_numpy(), samples[list(CHANNELS)].to_numpy(), row["reported_reps"])
-    return c, signals.segment(c, p.exercise, p.reached_failure), truth, row
+    return c, signals.segment(c, p.movement.exercise, p.fails), truth, row
+
+
+def test_readings_follow_from_the_motion():
+    """Attitude turns readings back to the path, and the rate is that of the attitude."""
+    p = G.recording(able=5, spare=1, fails=False, tremor=0.0, seed=6)
+    t, fine = G.motion(p, np.random.default_rng(0))
+    z, _ = G.timeline(p)
+    q = fine[:, 6:10]
+    world = G.into(q * [1, -1, -1, -1], fine[:, :3])
+    np.testing.assert_allclose(world[:, 2], np.gradient(np.gradient(z, 1 / G.FINE_HZ), 1 / G.FINE_HZ), atol=1e-9)
+    np.testing.assert_allclose(G.into(q * [1, -1, -1, -1], fine[:, 10:13]), np.tile(G.GRAVITY, (len(z), 1)), atol=1e-9)
+    step = G.product(q[:-1] * [1, -1, -1, -1], q[1:])[:, 1:] * 2 * G.FINE_HZ
+    np.testing.assert_allclose(step[5:-5], (fine[5:-6, 3:6] + fine[6:-5, 3:6]) / 2, atol=5e-3)
 
 
 def test_labels():
-    _, truth, row = G.one_set(G.SetParams(capacity=8, seed=1))
+    _, truth, row = G.one_set(G.recording(able=8, seed=1))
     assert (truth["completed"].sum(), len(truth), row["failure_rep"], row["mechanical_rpe_true"]) == (8, 9, 9, 10)
-    _, truth, row = G.one_set(G.SetParams(exercise="back_squat", capacity=10, stop_rir=2, reached_failure=False, rom_m=0.55, seed=2))
+    _, truth, row = G.one_set(G.recording(exercise="back_squat", able=10, spare=2, fails=False, range_m=0.55, seed=2))
     assert (truth["completed"].sum(), row["failure_rep"], row["mechanical_rpe_true"]) == (8, None, 8)
     with pytest.raises(ValueError):
-        G.SetParams(capacity=5, stop_rir=5, reached_failure=False)
+        G.recording(able=5, spare=5, fails=False)
 
 
-@pytest.mark.parametrize(("grade", "least"), [({}, 0.95), ({"vel_decay": 0.45, "rom_collapse": 0.2, "tremor_growth": 3.0, "ecc_shorten": 0.35, "path_wobble_m": 0.03}, 0.95), ({"vel_decay": 0.55, "rom_collapse": 0.28, "tremor_growth": 3.5, "tremor_gain": 0.4, "ecc_shorten": 0.4, "path_wobble_m": 0.04}, 0.75)])
+@pytest.mark.parametrize(("grade", "least"), [({}, 0.95), ({"slowing": 0.45, "shortening": 0.2, "tremor_growth": 3.0, "hurry": 0.35, "sway_m": 0.03}, 0.95), ({"slowing": 0.55, "shortening": 0.28, "tremor_growth": 3.5, "tremor": 0.4, "hurry": 0.4, "sway_m": 0.04}, 0.75)])
 def test_counts_and_range(grade, least):
     exact, errors = [], []
     for capacity in (5, 8, 12):
         for fails in (True, False):
             for seed in (1, 2):
-                c, reps, truth, row = run(G.SetParams(capacity=capacity, stop_rir=0 if fails else 2, reached_failure=fails, seed=seed, **grade))
+                c, reps, truth, row = run(G.recording(able=capacity, spare=0 if fails else 2, fails=fails, seed=seed, **grade))
                 exact.append(sum(r["completed"] for r in reps) == row["reported_reps"])
                 if len(reps) == len(truth):
                     found = signals.rep_features(c, reps)
@@ -42,16 +55,16 @@ def test_counts_and_range(grade, least):
 
 
 def test_gaps_edges_and_anchors():
-    c, _, _, _ = run(G.SetParams(capacity=6, gap_prob=0.02, gap_ms=120, seed=5))
+    c, _, _, _ = run(G.recording(able=6, drop_chance=0.02, drop_ms=120, seed=5))
     assert "sample_gaps" in c.flags
     trimmed, whole = 0, 0
     for seed in range(1, 9):
-        p = G.SetParams(capacity=10, stop_rir=2, reached_failure=False, lead_s=8, tail_s=8, seed=seed)
+        p = G.recording(able=10, spare=2, fails=False, before_s=8, after_s=8, seed=seed)
         c, reps, _, row = run(p)
         assert np.abs(c.v_vert[c.anchors]).max() < 1e-6
         trimmed += abs(len(reps) - row["reported_reps"])
-        whole += abs(len(signals.segment(c, p.exercise, False, trim=False)) - row["reported_reps"])
-    assert trimmed < whole
+        whole += abs(len(signals.segment(c, p.movement.exercise, False, trim=False)) - row["reported_reps"])
+    assert trimmed <= 0.6 * whole
 
 
 def test_sticking_point():
@@ -71,7 +84,7 @@ def test_session(spark):
 
 
 def test_to_date_summaries_see_no_later_repetition(spark):
-    table = G.params_table(spark, [G.SetParams(capacity=8, seed=4)])
+    table = G.params_table(spark, [G.recording(able=8, seed=4)])
     sets = G.sets_of(table)
     reps = imu.repetitions(G.samples_of(table), sets).withColumn("path_dtw_baseline", F.lit(None).cast("double")).cache()
     whole = trajectory.causal(reps, "set_id", "rep_index").where("up_to_rep <= 5").orderBy("up_to_rep").toPandas()
@@ -82,5 +95,5 @@ def test_to_date_summaries_see_no_later_repetition(spark):
 def test_gates(spark):
     found = imu_queries.metrics(spark).toPandas()
     missed = set(found.loc[~found["passed"], "name"])
-    # On a corpus of 12 users these two of the model gates are not met yet; the README has the figures.
-    assert missed <= {"expected_rir_mae", "within_one"}, found.to_string()
+    # On a corpus of 12 users this one is not met yet; the README has the figure.
+    assert missed <= {"expected_rir_mae"}, found.to_string()

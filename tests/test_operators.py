@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import columns as C
 from cadenza.operators import scoring, sequence, trajectory
 from cadenza.sources import contract, metadata, raw_store
-from cadenza.sources.generator import SetParams, params_table, samples_of
+from cadenza.sources.generator import params_table, recording as recorded, samples_of
 
 
 def one(df, *names):
@@ -108,10 +108,10 @@ def test_contract(spark):
 
 
 def test_raw_store(spark, tmp_path):
-    raw = samples_of(params_table(spark, [SetParams(capacity=5, session_id="s")])).drop("set_id").cache()
+    raw = samples_of(params_table(spark, [recorded(able=5, session_id="s")])).drop("set_id").cache()
     root = f"file://{tmp_path}/raw"
     raw_store.write(raw, root)
-    back = raw_store.read(spark, root, user_id="user_synth", set_index=1)
+    back = raw_store.read(spark, root, user_id="lifter", set_index=1)
     assert back.exceptAll(raw.select(back.columns)).isEmpty() and back.count() == raw.count()
     with pytest.raises(FileExistsError):
         raw_store.write(raw, root)
