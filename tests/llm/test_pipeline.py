@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -70,7 +71,7 @@ def test_query_matches_its_sql(spark, sf_dir, name):
     for t in ("documents", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
-    told = lambda df: Counter(tuple(None if x != x or x is None else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    told = lambda df: Counter(tuple(None if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and told(got) == told(want)
 
 
