@@ -367,20 +367,28 @@ def decreasing(lengths, size):
     return len(gaps)
 
 
-@pytest.mark.parametrize("size", [16, 100, 4096])
-def test_sweep_is_best_fit(size):
+@pytest.mark.parametrize(("size", "task_rows"), [(16, 90), (100, 150), (4096, 10_000)])
+def test_rounds_pack_as_well_as_best_fit(spark, size, task_rows):
+    """With one and with several partitions to a sweep."""
     rng = np.random.default_rng(size)
-    for n in (1, 7, 400):
-        lengths = rng.integers(1, size + 1, n).tolist() + rng.integers(1, max(2, size // 9), n).tolist()
-        sequences: dict[int, list] = {}
-        for length, _, number, first, offset in packing.sweep(dict(Counter(lengths)), size):
-            for k in range(number):
-                sequences.setdefault(first + k, []).append((offset, length))
-        assert Counter(x for s in sequences.values() for _, x in s) == Counter(lengths)
-        for s in sequences.values():
-            s.sort()
-            assert [o for o, _ in s] == [0, *np.cumsum([x for _, x in s])[:-1]] and sum(x for _, x in s) <= size
-        assert len(sequences) == decreasing(lengths, size)
+    lengths = rng.integers(1, size + 1, 400).tolist() + rng.integers(1, max(2, size // 9), 400).tolist()
+    got = packing.pack(spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECES), size, task_rows).toPandas()
+    assert got.sort_values("doc_id")["length"].tolist() == lengths
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= size
+    assert got["sequence_id"].nunique() == decreasing(lengths, size)
+
+
+def test_matching_across_partitions():
+    """Later partitions take the last places of earlier ones first, and none twice."""
+    rng = np.random.default_rng(3)
+    left = [(p, int(rng.integers(0, 6)), int(rng.integers(0, 6))) for p in range(60)]
+    stack, want = [], []
+    for part, pieces, places in left:
+        want += [(part, k, *stack.pop()) for k in range(pieces) if stack]
+        stack += [(part, k) for k in range(places)]
+    got = [(p, first + k, q, low + n - 1 - k) for _, p, first, q, low, n in packing.across(left) for k in range(n)]
+    assert sorted(got) == sorted(want) and len(packing.across(left)) <= 2 * len(left)
 
 
 def test_packing(docs, library):
