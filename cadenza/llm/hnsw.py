@@ -3,9 +3,10 @@
 Equal vectors are one point with a multiplicity. Points are dealt to shards by a hash of their vec_id; a shard holds
 at most some ``shard_size`` points, so its graph is built in one task. Every shard's points query every shard (each pair of
 shards once, since links have no direction). A query descends the levels greedily and then follows a beam on the lowest
-one; the beam of a query that it finds full of links is doubled, up to the whole shard, and so are the beams of all
-queries of a pair of shards while an audit, some of its queries against brute force, finds less than ``recall``. What
-is found is verified with the cosine in double precision. Each pair of shards gives one row per linked point: its number
+one; the beam of a query that it finds full of links is doubled, up to the whole shard. Before, an audit compares all points
+whose id is divisible by 50 with all points exactly, and copies of them planted just above the threshold with their
+shard; the beam of all queries is doubled until both, pooled over all pairs of shards, show a recall of ``recall`` or
+more. What is found is verified with the cosine in double precision. Each pair of shards gives one row per linked point: its number
 of links and its root in the pair's own forest, so that a large group never becomes a list of pairs. Components are those
 of the forests together.
 
@@ -32,7 +33,8 @@ from .common import components, shared_dir, written
 
 LINKS, WIDE = 12, 24  # of a point on the upper levels and on the lowest
 CANDIDATES = 64
-AUDITED = 32
+BEAM = 24
+AUDITED = 50  # points whose id it divides are audited
 
 
 def chosen_links(x: np.ndarray, who: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
@@ -202,27 +204,50 @@ class Graph:
 NEAR = 1e-4  # single precision leaves less doubt than this
 
 
-def pairs_of(a: Graph, b: Graph, threshold: float, beam: int = 24, recall: float = 0.98, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def audit(a: Graph, b: Graph, same: bool, threshold: float, beams: list[int], block: int = 512) -> Iterator[tuple[bool, int, int, int]]:
+    """How many links of audited queries there are and how many of them each beam finds: (planted, beam, links, found).
+
+    Queries are the points of ``a`` whose id is divisible by 50 and, within a shard, copies of them (of 32 evenly
+    placed points where they are fewer) turned away from the original to just above the threshold, so that there is
+    something to find in a shard without links as well.
+    """
+    picked = np.flatnonzero(a.ids % AUDITED == 0)
+    kinds = [(False, a.x[picked], picked)]
+    if same:
+        origin = picked if len(picked) >= 32 else np.linspace(0, len(a.ids) - 1, min(32, len(a.ids))).astype(int)
+        x = a.exact[origin]
+        away = np.random.default_rng(len(a.ids)).normal(size=x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        norm = np.linalg.norm(away, axis=1, keepdims=True)
+        near = min(1.0, threshold + 0.002)
+        kinds.append((True, np.where(norm > 1e-9, near * x + math.sqrt(1 - near * near) * away / np.maximum(norm, 1e-9), x).astype(np.float32), None))
+    for planted, queries, own in kinds:
+        for at in range(0, len(queries), block):
+            q = queries[at : at + block]
+            truth = q @ b.x.T >= threshold
+            if same and own is not None:
+                truth[np.arange(len(q)), own[at : at + block]] = False
+            some = truth.any(1)
+            q, truth = q[some], truth[some]
+            links, hits = int(truth.sum()), 0
+            for beam in beams if links else []:
+                if hits < links:
+                    places = found_of(q, b, threshold, beam)
+                    hits = sum(int(row[found].sum()) for row, found in zip(truth, places, strict=True))
+                yield planted, beam, links, hits
+
+
+def pairs_of(a: Graph, b: Graph, threshold: float, beam: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (in ``a``, in ``b``) of all verified links that queries of ``a`` find in ``b``, block by block."""
-    audit = np.linspace(0, len(a.ids) - 1, min(AUDITED, len(a.ids))).astype(int)
-    truth = a.x[audit] @ b.x.T >= threshold
-    while truth.any() and beam < len(b.ids):
-        ids, _ = found_of(a.x[audit], b, threshold, beam)
-        hit = np.zeros_like(truth)
-        for row, places in enumerate(ids):
-            hit[row, places] = True
-        if (hit & truth).sum() >= recall * truth.sum():
-            break
-        beam *= 2
     for at in range(0, len(a.ids), block):
-        found = found_of(a.x[at : at + block], b, threshold, beam)[0]
+        found = found_of(a.x[at : at + block], b, threshold, beam)
         i = np.repeat(np.arange(at, at + len(found)), [len(f) for f in found])
         j = np.concatenate(found) if len(found) else np.empty(0, np.int32)
         sure = np.concatenate([np.einsum("nd,nd->n", a.exact[i[k : k + 100_000]], b.exact[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)] or [np.empty(0)]) >= threshold
         yield i[sure], j[sure]
 
 
-def found_of(q: np.ndarray, b: Graph, threshold: float, beam: int) -> tuple[list[np.ndarray], int]:
+def found_of(q: np.ndarray, b: Graph, threshold: float, beam: int) -> list[np.ndarray]:
     """Places in ``b`` of what may link with each query; beams that come back full are doubled."""
     out: list[np.ndarray | None] = [None] * len(q)
     left = np.arange(len(q))
@@ -234,16 +259,16 @@ def found_of(q: np.ndarray, b: Graph, threshold: float, beam: int) -> tuple[list
             out[left[k]] = ids[k][near[k]]
         left = left[full]
         beam = beam * 2 if beam * 8 < len(b.ids) else len(b.ids)
-    return out, beam
+    return out
 
 
-def _rows(a: Graph, b: Graph, same: bool, threshold: float) -> pa.RecordBatch | None:
+def _rows(a: Graph, b: Graph, same: bool, threshold: float, beam: int) -> pa.RecordBatch | None:
     """One row per linked point of a pair of shards: id, links, root."""
     shift = 0 if same else len(a.ids)
     total = len(a.ids) if same else shift + len(b.ids)
     links, label = np.zeros(total, np.int64), np.arange(total)
     both = np.zeros((len(a.ids), len(a.ids)), bool) if same else None
-    for i, j in pairs_of(a, b, threshold):
+    for i, j in pairs_of(a, b, threshold, beam):
         if same:
             both[i, j] = True
         else:
@@ -264,8 +289,9 @@ def _rows(a: Graph, b: Graph, same: bool, threshold: float) -> pa.RecordBatch |
     return pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(links[touched]), pa.array(ids[label[touched]])], ["id", "links", "root"])
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int = 8192, least_shards: int = 8) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int = 8192, least_shards: int = 8, recall: float = 0.98) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept, and the audit's audited_recall of the links (null: none met)
+    and planted_recall, the same in every row."""
     spark = table.sparkSession
     base = shared_dir(spark, "hnsw")
     folder = f"{base}/graphs"
@@ -285,10 +311,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int =
         name = f"{uuid.uuid4().hex}.npz"
         with system.open_output_stream(f"{root}/{name}") as out:
             out.write(graph.save())
-        return pd.DataFrame({"size": [group["size"].iloc[0]], "name": [name]})
+        return pd.DataFrame({"size": [group["size"].iloc[0]], "name": [name], "points": [len(group)]})
 
     dealt = points.select("rep", "copies", "embedding", F.size("embedding").alias("size"), F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"))
-    files = written(dealt.groupBy("size", "shard").applyInPandas(build, "size int, name string"), f"{base}/files")
+    files = written(dealt.groupBy("size", "shard").applyInPandas(build, "size int, name string, points int"), f"{base}/files")
     # A name for each shard, and shards are bounded in number by the vectors over the shard size.
     of: dict[int, list[str]] = {}
     for r in files.orderBy("size", "name").collect():
@@ -296,7 +322,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int =
     numbered = [(size, names) for size, names in of.items()]
     pairs = sum(len(names) * (len(names) + 1) // 2 for _, names in numbered)
 
-    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Graph, Graph, bool]]:
+        """The pairs of shards with the numbers in ``batches``."""
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
@@ -319,11 +346,31 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int =
                     k -= own
                 i = (math.isqrt(8 * k + 1) - 1) // 2
                 j = k - i * (i + 1) // 2
-                made = _rows(get(names[j]), get(names[i]), i == j, threshold)
-                if made is not None:
-                    yield made
+                yield get(names[j]), get(names[i]), i == j
 
     tasks = max(1, min(pairs, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    # The last beam is as wide as the largest shard, which is then compared whole.
+    widest = files.agg(F.coalesce(F.max("points"), F.lit(0))).first()[0]
+    beams = [BEAM]
+    while beams[-1] < widest:
+        beams.append(beams[-1] * 2)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, same in each(batches):
+            if rows := list(audit(a, b, same, threshold, beams)):
+                kinds = (pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["planted", "beam", "links", "found"])
+
+    audits = spark.range(0, pairs, 1, tasks).mapInArrow(check, "planted boolean, beam int, links long, found long")
+    shares = {(r["planted"], r["beam"]): r["found"] / r["links"] for r in audits.groupBy("planted", "beam").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).collect()}
+    beam = next((x for x in beams if min(shares.get((kind, x), 1.0) for kind in (False, True)) >= recall), beams[-1])
+
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, same in each(batches):
+            made = _rows(a, b, same, threshold, beam)
+            if made is not None:
+                yield made
+
     found = written(spark.range(0, pairs, 1, tasks).mapInArrow(query, "id long, links long, root long"), f"{base}/found")
     known = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), "hnsw-components").select(F.col("id").alias("rep"), "component")
     counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
@@ -331,4 +378,5 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, shard_size: int =
     state = state.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = rows.where("sound").join(state, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(alone)
+    audited = {f"{name}_recall": F.lit(shares.get((kind, beam))).cast("double") for kind, name in ((False, "audited"), (True, "planted"))}
+    return linked.unionByName(alone).withColumns(audited)

@@ -479,6 +479,20 @@ def test_near_vectors(spark):
     assert hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_recall_of_sparse_links(spark):
+    """Links in a few rows of many, in 256 dimensions: the audit's figures hold for all of them."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 256))
+    x[2900:] = x[:100] + rng.normal(size=(100, 256)) * 0.29
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = hnsw.near_duplicates(df, shard_size=1500, least_shards=2).toPandas().sort_values("vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert links.sum() > 100 and (got["n_links"].to_numpy() <= links).all()
+    assert got["n_links"].sum() >= 0.98 * links.sum()
+    assert got["planted_recall"].min() >= 0.98 and not (got["audited_recall"] < 0.98).any()
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
