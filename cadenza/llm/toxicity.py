@@ -73,10 +73,26 @@ def value(n, total):
     return np.log1p(1000 * n / (total + 20))
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Risk of positives ``a`` and unlabelled ``b``: its positive part, its negative part before the bound at 0, and the
+    direction of a step: the gradient of their sum, or where the negative part is below 0 that of its opposite.
+
+    Losses are log(1 + exp(-z)) as positive and log(1 + exp(z)) as negative; the last of ``w`` is the bias.
+    """
+    z_p, z_u = a @ w[:-1] + w[-1], b @ w[:-1] + w[-1]
+    positive = prior * np.logaddexp(0, -z_p).mean()
+    negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    g_up, g_un, g_pn = (_sigmoid(z_p) - 1) / len(a), _sigmoid(z_u) / len(b), _sigmoid(z_p) / len(a)
+    g_p, g_u = (prior * g_up - prior * g_pn, g_un) if negative >= 0 else (prior * g_pn, -g_un)
+    return positive, negative, np.append(a.T @ g_p + b.T @ g_u, g_p.sum() + g_u.sum())
+
+
 def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seeds: int = 3, epochs: int = 60, rate: float = 0.02, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Mean weights and bias of ``seeds`` classifiers trained by Adam on the non-negative risk."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    softplus = lambda z: np.logaddexp(0, z)
     found = []
     for seed in range(seeds):
         rng = np.random.default_rng(seed)
@@ -88,13 +104,7 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seeds: int = 3, epochs:
             for part_p, part_u in zip(np.array_split(order_p, steps), np.array_split(order_u, steps), strict=True):
                 if not len(part_p) or not len(part_u):
                     continue
-                a, b = x_p[part_p], x_u[part_u]
-                z_p, z_u = a @ w[:-1] + w[-1], b @ w[:-1] + w[-1]
-                # Losses: log(1 + exp(-z)) as positive, log(1 + exp(z)) as negative.
-                negative = softplus(z_u).mean() - prior * softplus(z_p).mean()
-                g_up, g_un, g_pn = (sigmoid(z_p) - 1) / len(a), sigmoid(z_u) / len(b), sigmoid(z_p) / len(a)
-                g_p, g_u = (prior * g_up - prior * g_pn, g_un) if negative >= 0 else (prior * g_pn, -g_un)
-                g = np.append(a.T @ g_p + b.T @ g_u + ridge * w[:-1], g_p.sum() + g_u.sum())
+                g = risk(w, x_p[part_p], x_u[part_u], prior)[2] + np.append(ridge * w[:-1], 0)
                 t += 1
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

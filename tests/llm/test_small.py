@@ -270,6 +270,45 @@ def test_toxicity(spark, docs):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize(("prior", "below"), [(0.02, False), (0.05, False), (0.6, True)])
+def test_risk_and_its_gradient(prior, below):
+    """Against the definition, row by row, and its finite differences, where the negative part is above 0 and where it is below."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(7, 4)) + 4, rng.normal(size=(30, 4))
+    w = np.append(np.full(4, 0.8), -0.5)
+
+    def plain(w):
+        z = lambda row: sum(x * y for x, y in zip(row, w[:-1], strict=True)) + w[-1]
+        loss = lambda v: np.log(1 + np.exp(v))
+        up, pn, un = (sum(loss(sign * z(r)) for r in rows) / len(rows) for sign, rows in ((-1, a), (1, a), (1, b)))
+        return prior * up, un - prior * pn
+
+    positive, negative, step = toxicity.risk(w, a, b, prior)
+    assert np.allclose([positive, negative], plain(w))
+    objective = (lambda w: sum(plain(w))) if negative >= 0 else (lambda w: -plain(w)[1])
+    assert (negative < 0) == below
+    for k in range(len(w)):
+        d = np.eye(len(w))[k] * 1e-6
+        assert abs((objective(w + d) - objective(w - d)) / 2e-6 - step[k]) < 1e-5
+
+
+def test_scores_by_hand(spark, docs):
+    """The score of every text, its rates counted word by word; repeated labels and rows change nothing."""
+    weights = {"quick$": 0.7, "word": 0.4, "naïv": -1.1, "lazy$": 0.3, "one$": 0.5}
+    out = by_id(toxicity.score(docs, toxicity.Model(weights, -0.2)), "score")
+    for d, text in TEXTS:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        z = -0.2
+        for name, w in weights.items():
+            n = sum(word + "$" == name or len(name) == len(word[: len(name)]) and word.startswith(name) for word in words)
+            z += w * np.log(1 + 1000 * n / (len(words) + 20))
+        assert any(abs(s - 1 / (1 + np.exp(-z))) < 1e-9 for (s,) in out[d])
+    rows = [(i, ("vile scum " if i % 4 == 0 else "fine words ") + f"plain text {'abcdefgh'[i % 8] * 5}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 200, 2)], "doc_id long, toxic int")
+    assert toxicity.train(df, lab.unionByName(lab)).weights == toxicity.train(df, lab).weights
+
+
 # 5, 10 --------------------------------------------------------------------------------------------------------------
 
 
