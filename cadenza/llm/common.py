@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -54,6 +55,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Give memory that ended tasks freed back to the system: Python workers live on from stage to stage, and what they
+    keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def components(edges: DataFrame, purpose: str = "components", most: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

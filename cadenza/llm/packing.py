@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import release, shared_dir, written
 from .word_ids import WordEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1) -> DataFr
     """One row per piece of each document's ids and the end id after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         made = WordEncoder(path)
         for whole in batches:
             for at in range(0, len(whole), 1024):

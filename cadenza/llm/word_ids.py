@@ -47,7 +47,7 @@ class WordEncoder:
     """``most`` bounds the tables of stretches and of marks between letters, of LONGEST characters at most each: some 200
     bytes an entry, 500 at most. A full one keeps the half that came first, in which frequent ones are."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
