@@ -1,6 +1,6 @@
 """Best-fit packing in bulk-synchronous rounds.
 
-Documents become pieces of at most ``size`` tokens. A round takes the longest pieces left, down to a half of the
+Documents become pieces of at most ``size`` tokens. A round takes the longest pieces left, down to two thirds of the
 longest, and the gaps of open sequences that hold any of them. Both are range-sorted together, longest first and gaps
 before pieces of their length; a gap that holds the longest piece several times counts as so many places. Every
 partition sweeps over its own rows and gives each piece its successor, the smallest place before it that no earlier
@@ -170,7 +170,7 @@ def pack(found: DataFrame, size: int = 4096, task_rows: int = 250_000) -> DataFr
     placed: list[DataFrame] = []
     while kinds or any(n < reached for n in counts):
         longest = max(k[4] for k in kinds) if kinds else max(n for n in counts if n < reached)
-        lowest = min(reached, longest // 2 + 1)
+        lowest = min(reached, longest * 2 // 3 + 1)
         events, rows = [], sum(k[1] for k in kinds)
         if kinds:
             events.append(left.select("rank", "length"))
