@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,10 @@ def rotate_inverse(q: Quat, v: Vec) -> Vec:
     return rotate(quat_conjugate(q), v)
 
 
+#: The double nearest to ln 3; Spark's own logarithm is off by its last bit there.
+LN3 = math.log(3.0)
+
+
 def sigmoid(z: Column) -> Column:
     """Logistic function of z clipped to 30 either way."""
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
@@ -64,7 +70,7 @@ def squash(deviation: Column, scale: float) -> Column:
     """100 at no deviation, 50 at ``scale``, towards 0 beyond; negative deviations count as none."""
     if scale <= 0:
         raise ValueError("scale must be positive")
-    return 200 * (1 - 1 / (1 + F.exp(-F.log(F.lit(3.0)) * F.greatest(deviation, F.lit(0.0)) / scale)))
+    return 200 * (1 - 1 / (1 + F.exp(F.lit(-LN3) * F.greatest(deviation, F.lit(0.0)) / scale)))
 
 
 def proximity(value: Column, target: Column | float, tolerance: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import plain_number, proximity, signed_percent, squash
+from ..functions.columns import LN3, plain_number, proximity, signed_percent, squash
 
 MIN_BEYOND_REFERENCE = 2
 Z_NOTABLE = 1.5
@@ -44,7 +44,7 @@ def form_subscores(reps: DataFrame, key: str, rep: str, completed: str, channels
     long = sets.select(key, F.coalesce("_n", F.lit(0)).alias("n_completed"), "_short", F.explode(F.array(*rows)).alias("s")).select(key, "n_completed", "_short", "s.*")
     usable = (F.col("n_completed") >= n_ref + MIN_BEYOND_REFERENCE) & F.col("reference").isNotNull() & F.when(F.col("sign") > 0, F.col("reference") > F.col("least")).otherwise(F.col("reference") != 0)
     long = long.withColumn("deviation", F.when(usable, F.col("sign") * (F.col("mean") / F.col("reference") - 1)))
-    fixed = 200 * (1 - 1 / (1 + F.exp(-F.log(F.lit(3.0)) * F.greatest("deviation", F.lit(0.0)) / F.col("scale"))))
+    fixed = 200 * (1 - 1 / (1 + F.exp(F.lit(-LN3) * F.greatest("deviation", F.lit(0.0)) / F.col("scale"))))
     if norm_ref is None:
         long = long.withColumns({"score": F.when(F.col("deviation").isNotNull(), fixed), "provisional": F.lit(True)})
     else:

@@ -135,3 +135,15 @@ def test_metadata_store(spark, tmp_path):
         assert store.session("nobody").isEmpty()
         with pytest.raises(ValueError):
             store.add_sets(spark.createDataFrame([("z", "nowhere", 1, *row[3:])], contract.SETS))
+
+
+def test_score_ties_of_narratives_go_by_name(spark):
+    """Deviations of 0.6 / 3.3 and 1.5 / 3.3 have one score to the last bit where ln 3 is the nearest double."""
+    dev = ((0.18181818181818166, 0.6), (0.4545454545454546, 1.5))
+    a, b = spark.createDataFrame([dev], "a struct<d: double, s: double>, b struct<d: double, s: double>").select(*(C.squash(F.col(f"{c}.d"), s) for c, (_, s) in zip("ab", dev, strict=True))).first()
+    assert a == b == 83.50641194108819
+    reps = [(0.03, 0.060000000000000005), (0.04, 0.04), (0.04, 0.01), (0.08, 0.060000000000000005), (0.04, 0.06999999999999999), (0.03, 0.08)]
+    df = spark.createDataFrame([(1, i, True, 10.0, p, 10.0, t) for i, (p, t) in enumerate(reps)], "k long, i int, ok boolean, rom double, path double, ecc double, tremor double")
+    subs = scoring.form_subscores(df, "k", "i", "ok", {"rom_completeness": "rom", "path_consistency": "path", "tempo_control": "ecc", "stability": "tremor"})
+    points = spark.createDataFrame([(1, n, 0, n, 1.0, None) for n in ("path_consistency", "stability")], "k long, name string, pos int, text string, magnitude double, onset long")
+    assert one(scoring.execution_narrative(subs, points, "k"), "narrative").endswith("path_consistency stability")
