@@ -22,7 +22,7 @@ Lower-cases A-Z only; words are runs of anything but ``\\x20`` and ``\\x09`` to
 whole sequence is the one shingle. Null and empty texts have no shingles and link with nothing. Each input row gives
 one row; rows of the same doc_id are copies or different documents by their texts. A null doc_id stays null and is a
 component's id only if all of its documents have none. Other columns are ignored. What is sent to the driver is bounded:
-one byte for each of 2**20 buckets, and counts.
+two bytes for each of 2**20 buckets, and counts.
 """
 
 from __future__ import annotations
@@ -44,8 +44,14 @@ SIGNED = "doc_id long, key long, n long, sig long, block int, counts binary"
 REACH = 0.2 + 1e-9
 #: Cells of buckets with so many documents (eight times the logarithm) are not gathered: all they hold is one island.
 HOT = 8 * 20
-#: Most rows of a broadcast side, three long numbers each. Beyond that the same join is a shuffled one.
-FEW = 500_000
+#: Ranks of buckets are logarithms in such parts of an eighth. Coarser ones, of eighths, put a shingle of a hundred
+#: documents among the unique ones where buckets hold a thousand, and chance neighbours then join most islands.
+FINE = 256
+#: Most rows of a broadcast side, three long numbers each. More are joined in slices of so many, at most SLICES; beyond
+#: that the same join is a shuffled one, which moves all texts.
+FEW, SLICES = 500_000, 16
+#: How often large islands are divided anew, as long as that frees a tenth of their documents.
+AGAIN = 4
 
 
 def shingles(text: bytes | None, size: int = WORDS) -> np.ndarray:
@@ -72,10 +78,19 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def bucket(found: np.ndarray) -> np.ndarray:
+def bucket(found: np.ndarray, level: int = 0) -> np.ndarray:
+    """Buckets of shingles; those of one do not stay together on another level."""
+    if level:
+        found = (found ^ (found >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
     return (found >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _blocks_of(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Numbers and counts of the blocks that aren't empty."""
+    blocks = [(b, c.tobytes()) for b, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
+    return pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and name of each document's set; at the end, in rows of their own, how many documents fill each bucket."""
     counts = np.zeros(1 << BITS, np.uint32)
@@ -88,43 +103,57 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(name_of(found) if len(found) else None)
             np.add.at(counts, bucket(found), 1)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
-    blocks = [(b, c.tobytes()) for b, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
-    if blocks:
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names)
+    block, held = _blocks_of(counts)
+    if len(block):
+        none = pa.nulls(len(block), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, block, held], names)
+
+
+def _counted(level: int):
+    """How many of some documents fill each bucket of a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.uint32)
+        for batch in sliced(batches, 256):
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, bucket(shingles(text), level), 1)
+        yield pa.RecordBatch.from_arrays([*_blocks_of(counts)], ["block", "counts"])
+
+    return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counts of each block and turns them into one-byte ranks, eight for each doubling."""
+    """Adds up the counts of each block and turns them into two-byte ranks."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             more = np.frombuffer(counts, np.uint32).astype(np.int64)
             total[block] = total[block] + more if block in total else more
     if total:
-        ranks = [np.minimum(255, 8 * np.log2(1 + t)).astype(np.uint8).tobytes() for t in total.values()]
+        ranks = [np.minimum(65_535, 8 * FINE * np.log2(1 + t)).astype(np.uint16).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
 
 
-def _cells(ranks, hot: int):
+def _cells(ranks, hot: int, level: int = 0):
     """A row per document and cell: the cell, the document, its size and the place of the shingle in its order. Of a hot
-    cell the two are exchanged and the place is -1: an edge already, dealt out by its document."""
+    cell the two are exchanged and the place is -1: an edge already, dealt out by its document. Regions have cells of
+    their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(ranks.value, np.uint8)
+        order = np.frombuffer(ranks.value, np.uint16)
         last = None
         for batch in sliced(batches, 256):
             cells, points, places = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text, region in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text == last:
                     continue
                 last, found = text, shingles(text)
                 n = len(found)
                 if not n:
                     continue
-                rank = order[bucket(found)]
+                rank = order[bucket(found, level)]
                 first = np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]
-                cell, common = found[first].view(np.int64), rank[first] >= hot
+                cell, common = found[first].view(np.int64) ^ np.int64(region), rank[first] >= FINE * hot
                 point = np.full(len(first), name_of(found), np.int64)
                 cells.append(np.where(common, point, cell))
                 points.append(np.where(common, cell, point))
@@ -316,28 +345,45 @@ class _Space:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("first")
         self.points = written(self.signed.where("sig is not null").groupBy(F.col("sig").alias("v")).agg(F.max("n").alias("n"), first).selectExpr("v", "n", "first.doc_id rep", "first.key key"), f"{self.base}/points")
 
-    def _ranks(self) -> bytes:
-        ranks = np.zeros(1 << BITS, np.uint8)
-        blocks = self.signed.where("block is not null").select("block", "counts").repartition(self.parts, "block")
-        for row in blocks.mapInArrow(_summed, "block int, ranks binary").toLocalIterator():
-            ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint8)
+    def _ranks(self, blocks: DataFrame) -> bytes:
+        ranks = np.zeros(1 << BITS, np.uint16)
+        for row in blocks.repartition(self.parts, "block").mapInArrow(_summed, "block int, ranks binary").toLocalIterator():
+            ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint16)
         return ranks.tobytes()
 
-    def islands(self) -> DataFrame:
-        """region, v, n of the documents that share an island with others."""
-        ranks = self.spark.sparkContext.broadcast(self._ranks())
-        cells = self.docs.select("text").mapInArrow(_cells(ranks, self.hot), "cell long, v long, at long")
+    def _islands(self, texts: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
+        """region, v, n of the documents that share an island with others; ``texts`` has text and the region before."""
+        ranks = self.spark.sparkContext.broadcast(self._ranks(blocks))
+        cells = texts.mapInArrow(_cells(ranks, self.hot, level), "cell long, v long, at long")
         edges = cells.repartition(self.parts, "cell").sortWithinPartitions("cell", "at", "v").mapInArrow(_edges, "u long, v long")
-        of = components(written(edges.distinct(), f"{self.base}/edges"), "jaccard-islands")
-        return written(of.select(F.col("component").alias("region"), F.col("id").alias("v")).join(self.points.select("v", "n"), "v").select("region", "v", "n"), f"{self.base}/islands")
+        of = components(written(edges.distinct(), f"{self.base}/edges{level}"), "jaccard-islands")
+        return written(of.select(F.col("component").alias("region"), F.col("id").alias("v")).join(self.points.select("v", "n"), "v").select("region", "v", "n"), f"{self.base}/islands{level}")
+
+    def islands(self) -> DataFrame:
+        """region, v, n. An island of more than three blocks is mostly chance neighbours in a row, so its documents are
+        ordered anew by counts among such documents alone, in other buckets; what is within 0.2 stays together."""
+        found = self._islands(self.docs.select("text", F.lit(0).cast("long").alias("region")), self.signed.where("block is not null").select("block", "counts"), 0)
+        before = None
+        for level in range(1, AGAIN + 1):
+            large = self.sizes(found).where("blocks > 3").select("region")
+            rows = found.join(large, "region").select("region", "v")
+            n = rows.count()
+            if not n or (before is not None and n > 0.9 * before):
+                break
+            before, texts = n, self.with_text(rows).select("text", "region")
+            finer = self._islands(texts, texts.mapInArrow(_counted(level), "block int, counts binary"), level)
+            found = found.join(large, "region", "left_anti").select("region", "v", "n").unionByName(finer)
+        return found
 
     def with_text(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the text of their point ``v``."""
-        side = rows.join(self.points.select("v", "rep", "key"), "v").withColumnRenamed("key", "_key")
-        if rows.count() <= FEW:
-            side = F.broadcast(side)
-        docs = self.docs
-        return docs.join(side, (docs["key"] == side["_key"]) & docs["doc_id"].eqNullSafe(side["rep"])).select(*rows.columns, "text")
+        side, docs = rows.join(self.points.select("v", "rep", "key"), "v").withColumnRenamed("key", "_key"), self.docs
+        slices = -(-rows.count() // FEW)
+        if slices > SLICES:
+            parts = [side]
+        else:
+            parts = [F.broadcast(side.where(F.expr(f"pmod(xxhash64(v, 3), {slices}) = {k}") if slices > 1 else F.lit(True))) for k in range(max(1, slices))]
+        return self._all([docs.join(p, (docs["key"] == p["_key"]) & docs["doc_id"].eqNullSafe(p["rep"])).select(*rows.columns, "text") for p in parts])
 
     def sizes(self, rows: DataFrame) -> DataFrame:
         """Blocks that each region takes, and the number of its documents."""

@@ -165,6 +165,47 @@ def test_jaccard_join(spark, docs):
     assert jaccard.link(empty(docs)).count() == 0
 
 
+def chance_ring(m: int) -> list[tuple[int, str]]:
+    """Documents that share a tenth with the next one, most of whose other passages stand in two longer texts as well."""
+    words = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    out = []
+    for i in range(m):
+        a, own, b = words(f"s{i}", 14), words(f"u{i}", 84), words(f"s{(i + 1) % m}", 14)
+        out.append((i, " ".join(a + own + b)))
+        out += [(m + 2 * i + j, " ".join(a[-4:] + own + b[:4] + words(f"e{i}y{j}", 400))) for j in range(2)]
+    return out
+
+
+def test_jaccard_divides_large_islands_anew(spark):
+    df = spark.createDataFrame(chance_ring(12), "doc_id long, text string")
+    assert jaccard.space(df, most=4).islands().count() >= 8  # three blocks: joined as they are
+    assert jaccard.space(df, most=2).islands().count() == 0
+    near = spark.createDataFrame([*chance_ring(12), (90, dict(chance_ring(12))[3] + " more")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.link(near, most=2).collect()} == {(k, 3 if k == 90 else k) for k in [*range(36), 90]}
+
+
+def test_jaccard_ranks_tell_full_buckets_apart():
+    import pyarrow as pa
+
+    counts = np.full(jaccard.BLOCK, 1030, np.uint32) + np.arange(jaccard.BLOCK, dtype=np.uint32) % 70
+    (found,) = jaccard._summed(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([counts.tobytes()])], ["block", "counts"])]))
+    ranks = found.column(1)[0].as_py()
+    assert len(set(np.frombuffer(ranks, f"<u{len(ranks) // jaccard.BLOCK}")[:70].tolist())) == 70
+
+
+def test_jaccard_texts_of_many_points_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = jaccard.space(spark.createDataFrame(chance_ring(6), "doc_id long, text string"))
+        got = made.with_text(made.points.select("v"))
+        assert "hashpartitioning(key" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["text"].decode() for r in got.collect()) == sorted(t for _, t in chance_ring(6))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("sizes", [{"most": 6, "pivots": 2}, {"most": 4, "size": 300, "pivots": 3, "hot": 0}, {"hot": 20}])
 def test_jaccard_join_by_regions(spark, sizes):
     """Limits so small that islands split into regions and blocks."""
