@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, sliced, written
+from .common import release, shared_dir, sliced, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -113,6 +113,22 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seeds: int = 3, epochs:
     return w[:-1], float(w[-1])
 
 
+def _vectors(place: dict[str, int]):
+    """Places and values of each text's features that aren't 0, few of all: what the driver gets stays small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            at, values = [], []
+            for text in batch.column(0).to_pylist():
+                found, total = features(text)
+                own = [(place[x], n) for x, n in found.items() if x in place]
+                at.append(np.array([k for k, _ in own], np.int32).tobytes())
+                values.append(np.array([value(n, total) for _, n in own], np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["positive", "at", "x"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, most: int = 1500) -> Model:
     """A model from at most ``positives`` and ``unlabelled`` documents with at most ``most`` features."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -153,22 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     names = [r["name"] for r in chosen_names.select("name").collect()]
     place = {x: i for i, x in enumerate(names)}
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                row = np.zeros(len(place), np.float32)
-                found, total = features(text)
-                for x, n in found.items():
-                    if x in place:
-                        row[place[x]] = value(n, total)
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["positive", "x"])
-
-    rows = chosen.select("text", "positive").mapInArrow(vectors, "positive int, x binary").toArrow()
-    flag = np.array(rows.column("positive").to_pylist())
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(flag), len(names))
-    w, bias = fit(x[flag == 1], x[flag == 0], prior)
+    rows = chosen.select("text", "positive").mapInArrow(_vectors(place), "positive int, at binary, x binary").toArrow()
+    # A matrix of at most positives + unlabelled rows and ``most`` columns, and no copy of it.
+    x, filled = [np.zeros((n, len(names)), np.float32) for n in (n_u, n_p)], [0, 0]
+    for batch in rows.to_batches():
+        for positive, at, values in zip(*batch.columns, strict=True):
+            kind = positive.as_py()
+            x[kind][filled[kind], np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(values.as_buffer(), np.float32)
+            filled[kind] += 1
+    del rows
+    release()
+    w, bias = fit(x[1], x[0], prior)
+    del x
+    release()
     return Model({n: float(a) for n, a in zip(names, w, strict=True) if abs(a) > 1e-6}, bias)
 
 

@@ -620,3 +620,15 @@ def test_zip_directories(large):
     found = warc_zip.Package(read, len(raw))
     assert found.member(warc_zip.INDEX) == b"index" and found.member(warc_zip.DATA) == b"data" * 100
     assert json.dumps(sorted(found.members)) == json.dumps(sorted([warc_zip.DATA, warc_zip.INDEX]))
+
+
+def test_toxicity_sends_few_numbers_a_text():
+    import pyarrow as pa
+
+    place = {f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}$": k for k in range(1000)}
+    text = "waaa wbaa wbaa elsewhere"
+    (found,) = toxicity._vectors(place)(iter([pa.RecordBatch.from_arrays([pa.array([text, None]), pa.array([1, 0], pa.int32())], ["text", "positive"])]))
+    assert found.nbytes < 100  # dense ones take 4,000 bytes a text
+    row = np.zeros(len(place), np.float32)
+    row[np.frombuffer(found.column(1)[0].as_py(), np.int32)] = np.frombuffer(found.column(2)[0].as_py(), np.float32)
+    assert np.flatnonzero(row).tolist() == [0, 1] and row[:2].tolist() == [np.float32(toxicity.value(n, 4)) for n in (1, 2)]
