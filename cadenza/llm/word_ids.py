@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import weakref
 from array import array
 from itertools import islice
 
@@ -28,16 +27,45 @@ SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
+def _part(tokenize, code: str, chars: dict[int, str]):
+    """Ids of one lower-case pre-token."""
+
+    def ids(part: str) -> bytes:
+        return array(code, [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(chars))]).tobytes()
+
+    return ids
+
+
+class _Parts(dict):
+    """Ids of pre-tokens, learnt when they are first asked for."""
+
+    def __init__(self, part) -> None:
+        super().__init__()
+        self.part = part
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.part(part)
+        if len(part) <= LONGEST:
+            self[part] = found
+        return found
+
+
 class _Units(dict):
-    """Ids of stretches, learnt when they are first asked for. ``learn`` must not hold the table's owner: a cycle would
-    keep the tables of ended tasks until the collector comes by, which counts objects, not bytes."""
+    """Ids of stretches, learnt when they are first asked for. What it holds must not hold it: a cycle would keep the
+    tables of ended tasks until the collector comes by, which counts objects, not bytes."""
 
-    def __init__(self, learn) -> None:
+    def __init__(self, part, parts: _Parts, whole) -> None:
         super().__init__()
-        self.learn = learn
+        self.part, self.parts, self.whole = part, parts, whole
 
     def __missing__(self, unit: str) -> bytes:
-        found = self.learn(unit)
+        if LOWER(unit):
+            found = self.part(unit)
+        elif not SIMPLE(unit) or "<|" in unit:
+            found = self.whole(unit)
+        else:
+            # Letters are looked up as stretches of their own, so a word is encoded once whatever stands around it.
+            found = b"".join([self[p] if p[0].isalpha() else self.parts[p] for p in PARTS(unit.lower())])
         if len(unit) <= LONGEST:
             self[unit] = found
         return found
@@ -51,33 +79,17 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.made = Tokenizer.from_file(path)
-        self.made.no_truncation()
-        self.made.no_padding()
-        self.code = "I" if self.made.get_vocab_size() > 65_536 else "H"
-        self.kind = np.dtype("<u4" if self.code == "I" else "<u2")
-        self.model = self.made.model
-        self.chars = dict(enumerate(byte_characters()))
-        own = weakref.proxy(self)
-        self.units, self.parts = _Units(lambda unit: own._unit(unit)), _Units(lambda part: own._part(part))
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        code = "I" if made.get_vocab_size() > 65_536 else "H"
+        self.kind = np.dtype("<u4" if code == "I" else "<u2")
+        self.ids = lambda text: array(code, made.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        part = _part(made.model.tokenize, code, dict(enumerate(byte_characters())))
+        self.parts = _Parts(part)
+        self.units = _Units(part, self.parts, self.ids)
         self.most = most
 
-    def _ids(self, text: str) -> bytes:
-        return array(self.code, self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        """Ids of one lower-case pre-token."""
-        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.chars)
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        if LOWER(unit):
-            return self._part(unit)
-        if not SIMPLE(unit) or "<|" in unit:
-            return self._ids(unit)
-        # Letters are looked up as stretches of their own, so a word is encoded once whatever stands around it.
-        return b"".join([self.units[p] if p[0].isalpha() else self.parts[p] for p in PARTS(unit.lower())])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as numbers of :attr:`kind`, the narrowest that holds them all."""
         for table in (self.units, self.parts):
@@ -88,7 +100,7 @@ class WordEncoder:
         out, get = [], self.units.__getitem__
         for text in texts:
             if text and any(c in text for c in ODD):
-                out.append(self._ids(text))
+                out.append(self.ids(text))
             else:
                 out.append(b"".join(map(get, text.split())) if text else b"")
         return out

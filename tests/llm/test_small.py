@@ -632,3 +632,13 @@ def test_toxicity_sends_few_numbers_a_text():
     row = np.zeros(len(place), np.float32)
     row[np.frombuffer(found.column(1)[0].as_py(), np.int32)] = np.frombuffer(found.column(2)[0].as_py(), np.float32)
     assert np.flatnonzero(row).tolist() == [0, 1] and row[:2].tolist() == [np.float32(toxicity.value(n, 4)) for n in (1, 2)]
+
+
+def test_id_store_remembers_its_tasks_words(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(id_store, "WordEncoder", lambda *a: made.append(word_ids.WordEncoder(*a)) or made[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words, twice; some words"])], ["doc_id", "text"])
+    assert [len(b) for b in id_store._encode(WORDS, 2)(iter([batch]))] == [2]
+    assert made[0].most >= 600_000 and set(made[0].units) == {"some", "words", "words,", "twice", "twice;"}
