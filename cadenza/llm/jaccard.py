@@ -4,8 +4,8 @@ A document's set is that of its distinct five-word shingles, as 64-bit hashes. T
 0.8 or more, that is within a distance of 0.2. Equal sets are one point of the space, with one 64-bit name.
 
 * **Islands.** Most documents are at distance 1 from each other, where no pivot tells them apart. So all shingles are
-  ordered by how many documents hold them, rarest first (counts by hashed buckets over the whole corpus; the order only
-  has to be the same for all). Documents within 0.2 share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, and
+  ordered by how many documents hold them, rarest first (each shingle is counted by itself, and two bounded tables tell
+  its class; counts by hashed buckets decide within one; the order only has to be the same for all). Documents within 0.2 share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, and
   what follows the first common one in either is enough for the overlap. Each such shingle is a cell; one pass over a
   cell's documents by size finds a forest of those that meet this bound, and the components of all forests together are
   islands, with no link between two of them.
@@ -22,7 +22,7 @@ Lower-cases A-Z only; words are runs of anything but ``\\x20`` and ``\\x09`` to
 whole sequence is the one shingle. Null and empty texts have no shingles and link with nothing. Each input row gives
 one row; rows of the same doc_id are copies or different documents by their texts. A null doc_id stays null and is a
 component's id only if all of its documents have none. Other columns are ignored. What is sent to the driver is bounded:
-two bytes for each of 2**20 buckets, and counts.
+two bytes for each of 2**20 buckets, tables of 96 MB at most that say which shingles recur, and counts.
 """
 
 from __future__ import annotations
@@ -47,6 +47,14 @@ HOT = 8 * 20
 #: Ranks of buckets are logarithms in such parts of an eighth. Coarser ones, of eighths, put a shingle of a hundred
 #: documents among the unique ones where buckets hold a thousand, and chance neighbours then join most islands.
 FINE = 256
+#: Shingles are counted as numbers of so many bits, in ranges of equal width; a task sends some two bytes for each, sorted
+#: in parts of PACK. By the buckets alone, at some gigabytes a shingle of fifty documents passes for a unique one, and
+#: chance neighbours join most documents to one island.
+PLACES, RANGES, PACK = 36, 1024, 4_000_000
+#: Least and most bits of the table of recurring shingles; there are as many as half the shingles if that lies between.
+LEAST_BITS, MOST_BITS = 20, 29
+#: Classes of shingles: those not known to recur, then those in so many documents at least.
+CLASSES = np.array([2, 3, 4, 5, 6, 7, 9, 12, 16, 24, 40, 80, 160, 500, 2000])
 #: Most rows of a broadcast side, three long numbers each. More are joined in slices of so many, at most SLICES; beyond
 #: that the same join is a shuffled one, which moves all texts.
 FEW, SLICES = 500_000, 16
@@ -80,9 +88,97 @@ def name_of(found: np.ndarray) -> int:
 
 def bucket(found: np.ndarray, level: int = 0) -> np.ndarray:
     """Buckets of shingles; those of one do not stay together on another level."""
-    if level:
-        found = (found ^ (found >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
-    return (found >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed(found, level) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def mixed(found: np.ndarray, level: int) -> np.ndarray:
+    return (found ^ (found >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level) if level else found
+
+
+def coded(numbers: np.ndarray) -> bytes:
+    """Sorted numbers below 2**32, as differences in two bytes each or, where that is longer, in four bytes each."""
+    step = np.diff(numbers, prepend=0)
+    over = step // 65_535
+    if 2 * (len(step) + int(over.sum())) > 4 * len(step):
+        return b"4" + numbers.astype(np.uint32).tobytes()
+    at = np.cumsum(over + 1) - 1
+    out = np.full(int(at[-1]) + 1, 65_535, np.uint16)  # which only moves on
+    out[at] = step - 65_535 * over
+    return b"2" + out.tobytes()
+
+
+def decoded(code: bytes) -> np.ndarray:
+    if code[:1] == b"4":
+        return np.frombuffer(code, np.uint32, offset=1).astype(np.int64)
+    step = np.frombuffer(code, np.uint16, offset=1)
+    return np.cumsum(step, dtype=np.int64)[step < 65_535]
+
+
+def _packed(found: list[np.ndarray], level: int) -> pa.RecordBatch:
+    """The numbers of shingles, range by range."""
+    width = PLACES - (RANGES - 1).bit_length()
+    number = (mixed(np.concatenate(found), level) >> np.uint64(64 - PLACES)).astype(np.int64)
+    number.sort()
+    ends = np.searchsorted(number, np.arange(RANGES + 1, dtype=np.int64) << width).tolist()
+    rows = [(k, coded(number[a:b] - (k << width))) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["part", "codes"])
+
+
+def _numbered(level: int):
+    """The numbers of all shingles of some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in sliced(batches, 256):
+            for text in batch.column(0).to_pylist():
+                held.append(shingles(text))
+                n += len(held[-1])
+                if n >= PACK:
+                    yield _packed(held, level)
+                    held, n = [], 0
+        if n:
+            yield _packed(held, level)
+
+    return run
+
+
+def _recurring(bits: int):
+    """Of each range, a bit for each place of the first table: some shingle there is in two documents or more; and half a
+    byte for each of the second, with an eighth of the places: the highest class of the shingles in three or more."""
+    own = (1 << bits) // RANGES
+
+    def tables(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        number, n = np.unique(np.concatenate(held), return_counts=True)
+        number, n = number[n > 1], n[n > 1]
+        place = number >> (PLACES - bits)
+        once = np.zeros(own, bool)
+        once[place] = True
+        kind = np.zeros(own >> 3, np.uint8)
+        np.maximum.at(kind, place[n > 2] >> 3, np.searchsorted(CLASSES, n[n > 2], "right").astype(np.uint8))
+        many = np.packbits(once, bitorder="little").tobytes(), (kind[::2] | kind[1::2] << 4).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([m], pa.binary()) for m in many)], ["part", "recurs", "kinds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+        for batch in batches:
+            for k, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != part and held:
+                    yield tables(part, held)
+                    held = []
+                part = k
+                held.append(decoded(code))
+        if held:
+            yield tables(part, held)
+
+    return run
+
+
+def classes(found: np.ndarray, level: int, bits: int, recurs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """0 of shingles that do not recur, else one of CLASSES; too high a one where shingles share a place."""
+    place = (mixed(found, level) >> np.uint64(64 - bits)).astype(np.int64)
+    again = (recurs[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+    kind = (kinds[place >> 4] >> (4 * (place >> 3 & 1)).astype(np.uint8)) & 15
+    return np.where(again, np.maximum(kind, 1), 0).astype(np.int64)
 
 
 def _blocks_of(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -140,7 +236,8 @@ def _cells(ranks, hot: int, level: int = 0):
     their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(ranks.value, np.uint16)
+        ranked, bits, *tables = ranks.value
+        order, (recurs, kinds) = np.frombuffer(ranked, np.uint16), (np.frombuffer(t, np.uint8) for t in tables)
         last = None
         for batch in sliced(batches, 256):
             cells, points, places = [], [], []
@@ -152,7 +249,8 @@ def _cells(ranks, hot: int, level: int = 0):
                 if not n:
                     continue
                 rank = order[bucket(found, level)]
-                first = np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]
+                rare = classes(found, level, bits, recurs, kinds) << 16 | rank
+                first = np.argsort(rare, kind="stable")[: n - (4 * n + 4) // 5 + 1]
                 cell, common = found[first].view(np.int64) ^ np.int64(region), rank[first] >= FINE * hot
                 point = np.full(len(first), name_of(found), np.int64)
                 cells.append(np.where(common, point, cell))
@@ -351,27 +449,40 @@ class _Space:
             ranks[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint16)
         return ranks.tobytes()
 
-    def _islands(self, texts: DataFrame, blocks: DataFrame, level: int) -> DataFrame:
+    def _tables(self, texts: DataFrame, n: int, level: int) -> tuple[int, bytearray, bytearray]:
+        """The tables of shingles that recur in ``texts``, which have ``n`` shingles, and the bits of the first one."""
+        bits = min(MOST_BITS, max(LEAST_BITS, (n // 2).bit_length()))
+        packed = texts.select("text").mapInArrow(_numbered(level), "part int, codes binary").repartition(self.parts, "part").sortWithinPartitions("part")
+        found = written(packed.mapInArrow(_recurring(bits), "part int, recurs binary, kinds binary"), f"{self.base}/recurring{level}")
+        tables = bytearray(1 << bits - 3), bytearray(1 << bits - 4)
+        for row in found.toLocalIterator():
+            for table, own in zip(tables, (row["recurs"], row["kinds"]), strict=True):
+                table[row["part"] * len(own) : (row["part"] + 1) * len(own)] = own
+        return bits, *tables
+
+    def _islands(self, texts: DataFrame, blocks: DataFrame, n: int, level: int) -> DataFrame:
         """region, v, n of the documents that share an island with others; ``texts`` has text and the region before."""
-        ranks = self.spark.sparkContext.broadcast(self._ranks(blocks))
+        ranks = self.spark.sparkContext.broadcast((self._ranks(blocks), *self._tables(texts, n, level)))
         cells = texts.mapInArrow(_cells(ranks, self.hot, level), "cell long, v long, at long")
         edges = cells.repartition(self.parts, "cell").sortWithinPartitions("cell", "at", "v").mapInArrow(_edges, "u long, v long")
-        of = components(written(edges.distinct(), f"{self.base}/edges{level}"), "jaccard-islands")
+        edges = written(edges.distinct(), f"{self.base}/edges{level}")
+        ranks.destroy()
+        of = components(edges, "jaccard-islands")
         return written(of.select(F.col("component").alias("region"), F.col("id").alias("v")).join(self.points.select("v", "n"), "v").select("region", "v", "n"), f"{self.base}/islands{level}")
 
     def islands(self) -> DataFrame:
         """region, v, n. An island of more than three blocks is mostly chance neighbours in a row, so its documents are
         ordered anew by counts among such documents alone, in other buckets; what is within 0.2 stays together."""
-        found = self._islands(self.docs.select("text", F.lit(0).cast("long").alias("region")), self.signed.where("block is not null").select("block", "counts"), 0)
+        found = self._islands(self.docs.select("text", F.lit(0).cast("long").alias("region")), self.signed.where("block is not null").select("block", "counts"), self.signed.agg(F.sum("n")).first()[0] or 0, 0)
         before = None
         for level in range(1, AGAIN + 1):
             large = self.sizes(found).where("blocks > 3").select("region")
             rows = found.join(large, "region").select("region", "v")
-            n = rows.count()
+            n, total = rows.join(self.points.select("v", "n"), "v").agg(F.count("*"), F.sum("n")).first()
             if not n or (before is not None and n > 0.9 * before):
                 break
             before, texts = n, self.with_text(rows).select("text", "region")
-            finer = self._islands(texts, texts.mapInArrow(_counted(level), "block int, counts binary"), level)
+            finer = self._islands(texts, texts.mapInArrow(_counted(level), "block int, counts binary"), total, level)
             found = found.join(large, "region", "left_anti").select("region", "v", "n").unionByName(finer)
         return found
 

@@ -193,6 +193,39 @@ def test_jaccard_ranks_tell_full_buckets_apart():
     assert len(set(np.frombuffer(ranks, f"<u{len(ranks) // jaccard.BLOCK}")[:70].tolist())) == 70
 
 
+def test_jaccard_counts_shingles_by_themselves(monkeypatch):
+    """Numbers come back as they were, and a shingle held once is told from one held twice, thrice or more."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    for top in (1000, 1 << 20, 1 << 26):
+        for n in (1, 7, 5000):
+            numbers = np.sort(rng.integers(0, top, n))
+            assert (jaccard.decoded(jaccard.coded(numbers)) == numbers).all()
+    assert len(jaccard.coded(np.arange(0, 1 << 26, 20_000))) < 2.1 * ((1 << 26) / 20_000)
+    held = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    times = np.repeat([1, 2, 3, 30], 1000)
+    monkeypatch.setattr(jaccard, "RANGES", 16)
+    for level in (0, 1):
+        parts = [jaccard._packed([held[times > k]], level).to_pylist() for k in range(30)]
+        rows = sorted((r["part"], r["codes"]) for p in parts for r in p)
+        batch = lambda r: pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.binary())], ["part", "codes"])
+        tables = bytearray(1 << 21), bytearray(1 << 20)
+        for found in jaccard._recurring(24)(map(batch, rows)):
+            for table, own in zip(tables, (found["recurs"][0].as_py(), found["kinds"][0].as_py()), strict=True):
+                table[found["part"][0].as_py() * len(own) : (found["part"][0].as_py() + 1) * len(own)] = own
+        got = jaccard.classes(held, level, 24, *(np.frombuffer(t, np.uint8) for t in tables))
+        assert (got >= np.searchsorted(jaccard.CLASSES, times, "right")).all()
+        assert (got == np.searchsorted(jaccard.CLASSES, times, "right")).mean() > 0.99
+
+
+def test_jaccard_full_buckets_join_no_strangers(spark, monkeypatch):
+    """Each document shares one passage with the next one and has its other words for itself, which full buckets hide."""
+    monkeypatch.setattr(jaccard, "BITS", 12)
+    rows = [(i, " ".join([f"s{i}x{k}" for k in range(6)] + [f"u{i}x{k}" for k in range(400)] + [f"s{(i + 1) % 200}x{k}" for k in range(6)])) for i in range(200)]
+    assert jaccard.space(spark.createDataFrame(rows, "doc_id long, text string"), most=1024).islands().count() == 0
+
+
 def test_jaccard_texts_of_many_points_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", 5)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
