@@ -159,3 +159,14 @@ def test_divergence_at_a_bound_adds_as_sql_does(spark):
     df = spark.createDataFrame(rows, "k long, h array<double>").select("k", scoring.rir_pmf(F.col("h")).alias("pmf"), F.lit(9.5).alias("rpe"))
     got = {r["k"]: (r["percentile"], r["direction"]) for r in scoring.divergence(df, "pmf", "rpe").collect()}
     assert got == {2239: (0.1, "aligned"), 3004: (0.09999999999999999, "under_reporting")}
+
+
+def test_effort_narrative_at_a_bound_says_as_sql_does(spark):
+    rows = [
+        (2239, [0.9, 0.48219999999999996, 0.31010000000000004, 0.10435, 0.17855000000000001, 0.11955, 0.63825, 0.07730000000000001]),
+        (3004, [0.9, 0.24309999999999998, 0.21309999999999998, 0.29785, 0.08474999999999999, 0.6862999999999999, 0.02, 0.1524]),
+    ]
+    df = spark.createDataFrame(rows, "k long, h array<double>").select("k", scoring.rir_pmf(F.col("h")).alias("pmf"), F.lit(9.5).alias("rpe"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    got = {r["k"]: r["narrative"] for r in scoring.effort_narrative(scoring.divergence(df, "pmf", "rpe"), "lo", "hi", "rpe").collect()}
+    assert got[2239] == "Estimated no reps left at set end. Reported effort matched the movement."
+    assert got[3004] == "Estimated no reps left at set end. You reported RPE 9.5; movement suggested closer to 10."
