@@ -19,6 +19,13 @@ SUBSCORES = (
 WEIGHTS = {"rir": 0.25, "rpe": 0.25, "form": 0.5}
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array's values that aren't null, added from the first on. An aggregate that falls back to sorting adds
+    parts of a group for themselves, which changes last bits, and with them ties."""
+    there = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+
+
 def form_subscores(reps: DataFrame, key: str, rep: str, completed: str, channels: dict[str, str] | None = None, norm_ref: DataFrame | None = None, n_ref: int = 3) -> DataFrame:
     """Long table: key, name, score (null without a reference), provisional, reference, mean, deviation, n_short, n_completed.
 
@@ -29,11 +36,13 @@ def form_subscores(reps: DataFrame, key: str, rep: str, completed: str, channels
     w = Window.partitionBy(key).orderBy(rep)
     done = reps.where(F.col(completed)).withColumn("_k", F.row_number().over(w))
     first = F.col("_k") <= n_ref
-    aggs = [F.count("*").alias("_n")]
+    held = F.array_sort(F.collect_list(F.struct("_k", first.alias("_first"), *(F.col(channels[name]).cast("double").alias(name) for name, _, _, _ in SUBSCORES))))
+    means = {}
     for name, _, _, _ in SUBSCORES:
-        c = F.col(channels[name])
-        aggs += [F.avg(F.when(first, c)).alias(f"_ref_{name}"), F.avg(c).alias(f"_mean_{name}")]
-    sets = reps.select(key).distinct().join(done.groupBy(key).agg(*aggs), key, "left")
+        means[f"_ref_{name}"] = _mean(F.filter("_held", lambda x: x["_first"])[name])
+        means[f"_mean_{name}"] = _mean(F.col("_held")[name])
+    done_sets = done.groupBy(key).agg(F.count("*").alias("_n"), held.alias("_held")).withColumns(means).drop("_held")
+    sets = reps.select(key).distinct().join(done_sets, key, "left")
     rom = channels["rom_completeness"]
     short = done.join(sets.select(key, F.col("_ref_rom_completeness").alias("_ref")), key).groupBy(key).agg(F.sum((F.col(rom) < 0.9 * F.col("_ref")).cast("long")).alias("_short"))
     sets = sets.join(short, key, "left")
@@ -90,7 +99,9 @@ def pointers(subscores: DataFrame, trends: DataFrame, key: str) -> DataFrame:
 
 def form_score(subscores: DataFrame, key: str) -> DataFrame:
     """Mean of the subscores that there are, and whether it is provisional."""
-    return subscores.groupBy(key).agg(F.avg("score").alias("form_score"), F.bool_or("provisional").alias("provisional"))
+    place = F.array_position(F.array(*[F.lit(name) for name, *_ in SUBSCORES]), F.col("name"))
+    held = F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col("score").alias("score"))))
+    return subscores.groupBy(key).agg(_mean(F.transform(held, lambda x: x["score"])).alias("form_score"), F.bool_or("provisional").alias("provisional"))
 
 
 def execution_narrative(subscores: DataFrame, points: DataFrame, key: str, most: int = 3, deficit: float = 15.0) -> DataFrame:

@@ -170,3 +170,21 @@ def test_effort_narrative_at_a_bound_says_as_sql_does(spark):
     got = {r["k"]: r["narrative"] for r in scoring.effort_narrative(scoring.divergence(df, "pmf", "rpe"), "lo", "hi", "rpe").collect()}
     assert got[2239] == "Estimated no reps left at set end. Reported effort matched the movement."
     assert got[3004] == "Estimated no reps left at set end. You reported RPE 9.5; movement suggested closer to 10."
+
+
+def test_form_means_do_not_depend_on_how_groups_are_added(spark):
+    """As where an aggregate runs out of memory and falls back to sorting."""
+    reps = [(k, i, True, *((0.1 + (k * 7 + i * c) % 13 / 100) for c in (3, 5, 7, 11))) for k in range(300) for i in range(7)]
+    df = spark.createDataFrame(reps, "k long, i int, ok boolean, rom double, path double, ecc double, tremor double").coalesce(1)
+    names = {"rom_completeness": "rom", "path_consistency": "path", "tempo_control": "ecc", "stability": "tremor"}
+
+    def found():
+        subs = scoring.form_subscores(df, "k", "i", "ok", names)
+        return {tuple(r) for r in subs.select("k", "name", "reference", "mean").collect()}, {tuple(r) for r in scoring.form_score(subs, "k").collect()}
+
+    before = found()
+    spark.conf.set("spark.sql.TungstenAggregate.testFallbackStartsAt", "2,5")
+    try:
+        assert found() == before
+    finally:
+        spark.conf.unset("spark.sql.TungstenAggregate.testFallbackStartsAt")
